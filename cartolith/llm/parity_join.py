@@ -39,6 +39,8 @@ SPARE = 8
 RATIO = 1.6
 #: Ids of candidate sets that may be broadcast (8 bytes each); beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Keys with more members than this meet a second pivot before their members are compared with each other.
+PIVOT_AGAIN = 48
 _U = np.uint64
 
 
@@ -140,43 +142,49 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataF
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text")
     made = keep(docs.mapInArrow(lambda it: _sets(it, width, "sketch"), "doc_id bigint, n bigint, fp binary, bits array<bigint>, room int, keys array<bigint>"), "parity")
-    reps = keep(made.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "parity-reps")
-    members = made.select("doc_id", "n", "fp").join(reps.select("fp", "rep"), "fp")
-
-    of_reps = made.join(reps.where("n > 0").select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"])
-    keys = of_reps.select("doc_id", "n", "room", F.explode("keys").alias("key"))
+    sizes = keep(made.select("doc_id", "n", "fp", "room"), "parity-sizes")
+    reps = keep(sizes.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("room").alias("room")), "parity-reps")
+    members = sizes.join(reps.select("fp", "rep"), "fp")
+
+    copies = keep(members.where("doc_id <> rep or n = 0").select("doc_id").distinct(), "parity-copies")
+    # A key holds a set once, and a set has many keys: no key has more than a small share of the rows.
+    keys = made.select("doc_id", "keys").join(_small(copies), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
+    keys = keys.repartition("key")
     often = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("c"), "key"))
-    met = keep(keys.join(often, "key").withColumn("rank", rank).where("rank > room").select("doc_id", "n", "key"), "parity-met")
+    sized = reps.select(F.col("rep").alias("doc_id"), "n", "room")
+    met = keep(keys.join(often, "key").withColumn("rank", rank).join(sized, "doc_id").where("rank > room").select("doc_id", "n", "key"), "parity-met")
     often = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     groups = keep(met.join(often, "key"), "parity-groups")
-    forget(spark, met)
 
     ids = keep(groups.select("doc_id").distinct(), "parity-ids")
-    few = ids.count() <= BROADCAST_IDS
-    bits = keep(made.select("doc_id", "bits").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "parity-bits")
-    chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    bits = keep(made.select("doc_id", "n", "bits").join(_small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "parity-bits")
+    forget(spark, met, made)
+    chosen = docs.join(_small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = keep(chosen.mapInArrow(lambda it: _sets(it, width, "set"), "doc_id bigint, hashes binary"), "parity-sets")
 
     links, tried, label = None, None, None
-    for turn in range(4):
+    for turn in range(3):
         now = groups.withColumn("comp", F.col("doc_id"))
         if label is not None:
             now = groups.where("c > 2").join(label, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
             still = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
             now = keep(now.join(still, "key", "left_semi"), "parity-open")
-            if now.isEmpty():
+            largest = now.agg(F.max("c")).first()[0]
+            if largest is None:
                 break
+            if turn == 1 and largest <= PIVOT_AGAIN:
+                continue
         near = (F.col("ac") != F.col("bc")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
-        if turn < 3:  # one pivot for each key
+        if turn < 2:  # one pivot for each key
             by = F.col("doc_id") if turn == 0 else F.xxhash64(F.lit(turn), "doc_id")
             pivot = now.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "comp"), by).alias("p"))
             left = now.select("key", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
             right = pivot.select("key", F.col("p.doc_id").alias("b"), F.col("p.n").alias("bn"), F.col("p.comp").alias("bc"))
             pairs = left.join(right, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = pairs.join(bits.toDF("a", "a_bits"), "a").join(bits.toDF("b", "b_bits"), "b").join(reps.select(F.col("rep").alias("a"), F.col("n").alias("an")), "a").join(reps.select(F.col("rep").alias("b"), F.col("n").alias("bn")), "b").where(_close(percent))
+            pairs = pairs.join(bits.toDF("a", "an", "a_bits"), "a").join(bits.toDF("b", "bn", "b_bits"), "b").where(_close(percent))
         else:  # all pairs of different components that are left
-            full = now.join(bits, "doc_id")
+            full = now.join(bits.select("doc_id", "bits"), "doc_id")
             left = full.select("key", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("bits").alias("a_bits"))
             right = left.toDF("key", "b", "bn", "bc", "b_bits")
             pairs = left.join(right, "key").where(near & (F.col("a") < F.col("b")) & _close(percent))
@@ -191,6 +199,11 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Marked for broadcast while its counted size allows; else joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _close(percent: int):
     """Whether the parity bits allow a link: their distance is at most the
     symmetric difference."""
