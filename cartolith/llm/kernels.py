@@ -66,16 +66,19 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, lower: bool, apart: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of each word and the number of the first word of each
-    row, with one more entry at the end. Words never cross rows."""
+    row, with one more entry at the end. Words never cross rows. The ASCII bytes
+    of apart end words too."""
     if lower:
         data = lower_ascii(data)
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    is_word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    blank = np.zeros(256, bool)
+    blank[[32, 9, 10, 11, 12, 13, *apart]] = True
+    is_word = ~blank[data]
     begins = is_word.copy()
     begins[1:] &= ~is_word[:-1]
     ends = is_word.copy()
