@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import parity_join
+from . import packing, parity_join, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op4_token_files": token_files.op4_token_files,
+    "op8_packing": packing.op8_packing,
     "op10_parity_join": parity_join.op10_parity_join,
 }
 
