@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, parity_join, token_files, toxicity
+from . import decontaminate, line_dedup, packing, parity_join, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_token_files": token_files.op4_token_files,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_packing": packing.op8_packing,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_parity_join": parity_join.op10_parity_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality_rules.SQL,
+}
