@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, parity_join, quality_rules, token_files, toxicity
+from . import decontaminate, language, line_dedup, packing, parity_join, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_token_files": token_files.op4_token_files,
+    "op5_language": language.op5_language,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_packing": packing.op8_packing,
     "op9_decontaminate": decontaminate.op9_decontaminate,
