@@ -42,7 +42,8 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str
             part, doc, start, n = (batch.column(i).to_pylist() for i in range(4))
             out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
             for i, raw in enumerate(batch.column(4)):
-                ids, at = np.frombuffer(raw.as_buffer(), "<u2").astype("<u4"), base[part[i]] + start[i]
+                raw = raw.as_buffer()
+                ids, at = np.frombuffer(raw, f"<u{raw.size // n[i]}").astype("<u4"), base[part[i]] + start[i]
                 a = 0
                 while a < n[i]:
                     seq, off = divmod(at + a, length)

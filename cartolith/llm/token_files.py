@@ -157,19 +157,20 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None =
     def run(batches):
         from pyspark import TaskContext
 
-        part, enc, end = TaskContext.get().partitionId(), tokens.encoder(path), struct.pack("<I", end_id)
+        part, end = TaskContext.get().partitionId(), struct.pack("<I", end_id)
         store, root = _store(folder)
         name = f"{root}/part-{part:06d}.tokens.zst"
         temporary, out, writer, n = f"{name}.{uuid.uuid4().hex}", None, None, 0
         for batch in batches:
-            for first, texts in tokens.texts_in(batch.column(1)):
+            for first, ids, cut in tokens.ids_in(batch.column(1), path):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(temporary)
                     writer = Writer(out)
-                for doc_id, ids in zip(batch.column(0).slice(first, len(texts)).to_pylist(), enc.encode(texts)):
-                    writer.add(doc_id, ids + end)
-                    n += len(ids) // 4 + 1
+                raw, at = ids.astype("<u4").tobytes(), (4 * cut).tolist()
+                for doc_id, a, b in zip(batch.column(0).slice(first, len(cut) - 1).to_pylist(), at, at[1:]):
+                    writer.add(doc_id, raw[a:b] + end)
+                n += len(ids) + len(cut) - 1
         if out is not None:
             writer.close()
             out.close()

@@ -1,28 +1,28 @@
 """Token ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-The library splits a text into pre-tokens and encodes each on its own, so equal
-pre-tokens have equal ids. A worker keeps the ids of pre-tokens it has met, and
-hands only new ones to the library. Texts with characters whose class may differ
-between Unicode versions go to the library whole.
+The library splits a text into pre-tokens, encodes each on its own, and always
+splits before a space that a visible character follows, and between letters and
+marks. So a text is cut there,
+and equal pieces have equal ids: a run of texts is cut and hashed with vector
+operations (two 64-bit hashes), a worker remembers the ids of pieces it has met,
+and only new ones go to the library. Texts with characters whose class may differ
+between Unicode versions, or with rare white space, go to the library uncut.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels
 from .common import only, process_cache
 
-#: Fixed value: the pre-token pattern of byte-level BPE files of this kind.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters whose classes all Unicode versions in use agree on.
-_SETTLED = re.compile("[^\t\n\r -~ -ԯ‐-‧€]")
-#: Pre-tokens that a worker remembers, and their longest length.
-REMEMBERED, LONGEST = 300_000, 48
+#: Pieces that a worker remembers, ids it keeps for them, and their longest length in bytes.
+REMEMBERED, IDS_KEPT, LONGEST = 1_500_000, 8_000_000, 64
+_BASES = (kernels.BASE, 0xD1342543DE82EF95)
+_U = np.uint64
 
 
 def default_path() -> str:
@@ -32,59 +32,136 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit integers, one bytes object a text."""
-
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings are ordinary text
-        self.split = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {}
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        # hash, second hash, place and number of ids of the pieces in self.flat; sorted by hash, in two layers
+        none = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.layers = [none, none]
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _ask(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after the other, and where each ends."""
+        ids, ends, base = [], [np.zeros(1, np.int64)], 0
         for i in range(0, len(pieces), 4096):
             part = pieces[i : i + 4096]
             got = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4").tobytes()
-            cut = (np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4).tolist()
-            out.update((piece, ids[cut[k] : cut[k + 1]]) for k, piece in enumerate(part))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if _SETTLED.search(t)]
-        out = dict(zip(odd, self.whole([texts[i] for i in odd]))) if odd else {}
-        plain = [i for i in range(len(texts)) if i not in out]
-        lists = [self.split(texts[i]) for i in plain]
-        new = list(set().union(*lists).difference(self.known))
-        found = self._pieces(new)
-        room = REMEMBERED - len(self.known)
-        if room >= len(found) and all(len(x) <= LONGEST for x in new):
-            self.known.update(found)
-            known = self.known
+            ids.append(np.array(got.ids, dtype=self.dtype))
+            ends.append(base + np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(1, len(part) + 1)))
+            base += len(got.ids)
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def _keep(self, u: np.ndarray, v: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        merged = [np.concatenate(x) for x in zip(self.layers[1], (u, v, at, n))]
+        order = np.argsort(merged[0], kind="stable")
+        self.layers[1] = [x[order] for x in merged]
+        if len(self.layers[1][0]) > 1 << 16:
+            merged = [np.concatenate(x) for x in zip(*self.layers)]
+            order = np.argsort(merged[0], kind="stable")
+            self.layers = [[x[order] for x in merged], [x[:0] for x in merged]]
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run of rows of UTF-8 bytes, and where each row's ids begin, with
+        one more entry at the end."""
+        n = len(data)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(len(off), np.int64)
+        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        begins = np.zeros(n, bool)
+        begins[:-1] = (data[:-1] == 32) & ~blank[1:]
+        kind = _KINDS[data]
+        a, b = kind[:-1], kind[1:]
+        alone = np.append(True, ~blank[:-2]) if n > 1 else blank[:0]  # no white space before the left byte
+        begins[1:] |= (a == _LETTER) & (b > _LETTER) | (b == _LETTER) & ((a == _MARK) | (a == _LINE) & alone) | (a == _MARK) & (b == _LINE)
+        rows = off[:-1]
+        full = rows < off[1:]
+        last = off[1:][full] - 1
+        begins[last] = False  # a space that ends its row has nothing after it
+        odd = _unsettled(data)
+        if len(odd):
+            for r in np.unique(np.searchsorted(off, odd, side="right") - 1).tolist():
+                begins[off[r] : off[r + 1]] = False
+        begins[rows[full]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], n)
+        hashes = []
+        wide = data.astype(np.uint64) + _U(1)
+        for base in _BASES:
+            p = kernels._power(base, n + 1)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(wide * p[:n], out=total[1:])
+            h = (total[end] - total[start]) * p[n - start]
+            hashes.append(kernels.mix(h * _U(pow(base, -n, 1 << 64)) ^ (end - start).astype(np.uint64)))
+        u, first, which = np.unique(hashes[0], return_index=True, return_inverse=True)
+        v = hashes[1][first]
+        if (v[which] != hashes[1]).any():  # two pieces with one hash: keep all apart
+            first = which = np.arange(len(start))
+            u, v, fresh = hashes[0], hashes[1], np.ones(len(start), bool)
+            at, count, keep = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), False
         else:
-            self.known.update([(k, v) for k, v in found.items() if len(k) <= LONGEST][: max(0, room)])
-            known = _Both(self.known, found)
-        for i, pieces in zip(plain, lists):
-            out[i] = b"".join([known[x] for x in pieces])
-        return [out[i] for i in range(len(texts))]
-
-
-class _Both(dict):
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key: str) -> bytes:
-        return self.first[key]
+            at, count, fresh, keep = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), np.ones(len(u), bool), True
+            for known in self.layers:
+                if len(known[0]):
+                    k = np.minimum(np.searchsorted(known[0], u), len(known[0]) - 1)
+                    hit = (known[0][k] == u) & (known[1][k] == v)
+                    at[hit], count[hit] = known[2][k[hit]], known[3][k[hit]]
+                    fresh &= ~hit
+        new = np.flatnonzero(fresh)
+        flat = self.flat
+        if len(new):
+            raw = data.tobytes()
+            spans = zip(start[first[new]].tolist(), end[first[new]].tolist())
+            ids, ends = self._ask([raw[a:b].decode(errors="replace") for a, b in spans])
+            count[new] = np.diff(ends)
+            short = (end - start)[first[new]] <= LONGEST
+            room = sum(len(x[0]) for x in self.layers) + len(new) <= REMEMBERED and self.used + len(ids) <= IDS_KEPT
+            if keep and room and short.all():
+                if self.used + len(ids) > len(self.flat):
+                    self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), self.dtype)))
+                flat = self.flat
+                flat[self.used : self.used + len(ids)] = ids
+                at[new] = self.used + ends[:-1]
+                self.used += len(ids)
+                self._keep(u[new], v[new], at[new], count[new])
+            else:
+                at[new] = self.used + ends[:-1]
+                flat = np.concatenate((self.flat[: self.used], ids))
+        lengths = count[which]
+        before = np.cumsum(lengths) - lengths
+        total = int(lengths.sum())
+        out = flat[np.repeat(at[which] - before, lengths) + np.arange(total)]
+        piece = np.searchsorted(start, off)
+        return out, np.append(before, total)[piece]
+
+
+#: The library also splits between an ASCII letter and a mark or line break, either way (after one line break, not more), and before a line break after a mark; an apostrophe may belong to the letters after it.
+_LETTER, _MARK, _LINE = 1, 2, 3
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KINDS[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _MARK
+_KINDS[[9, 10, 13]] = _LINE
+
+
+def _unsettled(data: np.ndarray) -> np.ndarray:
+    """Places of bytes that may belong to a character outside tab, line feed,
+    carriage return, x20-x7E, U+00A1-U+052F, U+2010-U+2027 and the euro sign."""
+    table = np.ones(256, bool)
+    table[[9, 10, 13]] = False
+    table[32:127] = False
+    table[0x80:0xC0] = False
+    table[0xC3:0xD4] = False
+    maybe = np.flatnonzero(table[data])
+    if not len(maybe):
+        return maybe
+    lead, a, b = data[maybe], data[np.minimum(maybe + 1, len(data) - 1)], data[np.minimum(maybe + 2, len(data) - 1)]
+    fine = (lead == 0xC2) & (a >= 0xA1) | (lead == 0xD4) & (a <= 0xAF) | (lead == 0xE2) & ((a == 0x80) & (b >= 0x90) & (b <= 0xA7) | (a == 0x82) & (b == 0xAC))
+    return maybe[~fine]
 
 
 def encoder(path: str) -> Encoder:
@@ -94,42 +171,38 @@ def encoder(path: str) -> Encoder:
     return cache[path]
 
 
-def texts_in(column: pa.Array, most_chars: int = 2_000_000):
-    """(first row, texts) over short runs of a string column; null texts are empty."""
-    i, n = 0, len(column)
-    while i < n:
-        run, size, first = [], 0, i
-        while i < n and size < most_chars:
-            run.append(column[i].as_py() or "")
-            size += len(run[-1])
-            i += 1
-        yield first, run
+def ids_in(column: pa.Array, path: str):
+    """(first row, ids, where each row's begin) over short runs of a string column;
+    null texts are empty."""
+    enc = encoder(path)
+    for first, data, off in kernels.slices(column):
+        yield first, *enc.encode(data, off)
 
 
-def encode(docs: DataFrame, end_id: int, path: str | None = None, dtype: str = "<u2") -> DataFrame:
+def encode(docs: DataFrame, end_id: int, path: str | None = None) -> DataFrame:
     """part, doc_id, start (ids before it in its part), n_tokens and ids of
     docs(doc_id, text), with end_id after each document. A part is a task's share
-    of the rows, in the order in which the task reads them; ids are stored as
-    dtype, which must hold the vocabulary."""
+    of the rows, in the order in which the task reads them; ids are little-endian
+    unsigned integers of 16 bits where the vocabulary has no more, else of 32."""
     path = path or default_path()
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, start, enc = TaskContext.get().partitionId(), 0, encoder(path)
-        end = np.array([end_id], dtype)
+        part, start, dtype = TaskContext.get().partitionId(), 0, encoder(path).dtype
+        end = np.array([end_id], dtype).tobytes()
         for batch in batches:
-            for first, texts in texts_in(batch.column(1)):
-                ids = [np.concatenate((np.frombuffer(b, "<u4").astype(dtype), end)) for b in enc.encode(texts)]
-                n = np.array([len(x) for x in ids], np.int64)
+            for first, ids, cut in ids_in(batch.column(1), path):
+                n = np.diff(cut) + 1
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
+                raw, at = ids.tobytes(), (cut * dtype.itemsize).tolist()
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(np.full(len(n), part, np.int32)),
                     "doc_id": batch.column(0).slice(first, len(n)),
                     "start": pa.array(starts),
                     "n_tokens": pa.array(n),
-                    "ids": pa.array([x.tobytes() for x in ids], pa.binary()),
+                    "ids": pa.array([raw[a:b] + end for a, b in zip(at, at[1:])], pa.binary()),
                 })
 
     return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, "part int, doc_id bigint, start bigint, n_tokens bigint, ids binary")
