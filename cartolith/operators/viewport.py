@@ -9,13 +9,15 @@ from ..constants import CONE_RAYS, COVERAGE_CAP, DISC_RAYS, KIND_LABELS, M_PER_D
 from ..functions import geo
 from . import occluders
 
+MOST_AREAS = 10_000
+
 
 def near(views: DataFrame, cameras: DataFrame) -> DataFrame:
     """v_id and the cameras within radius_m of views (v_id, lat, lon, radius_m).
     Views and cameras meet in square cells as wide as the longest radius."""
     scale = views.agg(F.max("radius_m"), F.max(F.abs("lat"))).first()
     if scale[0] is None:
-        return views.select("v_id").limit(0).crossJoin(cameras.limit(0))
+        return cameras.limit(0).select(F.lit(0).cast(views.schema["v_id"].dataType).alias("v_id"), *cameras.columns)
     size = max(scale[0], 1.0) / 110_000.0
     width = geo.lon_cell(max(scale[0], 1.0), min(scale[1] + size, 89.0), 110_000.0)
     nine = lambda c, s: F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: geo.cell(c, s) + d))
@@ -82,9 +84,12 @@ def kind_label(kind: Column) -> Column:
 
 def in_area(points: DataFrame, area: DataFrame) -> DataFrame:
     """points (lat, lon, others) inside areas (area_id, ring), by the even-odd rule,
-    with area_id. Areas and points meet through the areas' boxes."""
+    with area_id. Areas are a stated, small set: at most MOST_AREAS, counted before
+    every point is tested against their boxes."""
+    if area.count() > MOST_AREAS:
+        raise ValueError(f"more than {MOST_AREAS} areas")
     box = occluders.boxed(area.withColumnRenamed("area_id", "ring_id")).withColumnRenamed("ring_id", "area_id")
-    met = points.withColumn("_p", F.monotonically_increasing_id()).join(box, (F.col("lat") >= F.col("min_lat")) & (F.col("lat") <= F.col("max_lat")) & (F.col("lon") >= F.col("min_lon")) & (F.col("lon") <= F.col("max_lon")))
+    met = points.withColumn("_p", F.monotonically_increasing_id()).join(F.broadcast(box), (F.col("lat") >= F.col("min_lat")) & (F.col("lat") <= F.col("max_lat")) & (F.col("lon") >= F.col("min_lon")) & (F.col("lon") <= F.col("max_lon")))
     turned = F.concat(F.slice("ring", F.lit(2), F.size("ring") - 1), F.slice("ring", F.lit(1), F.lit(1)))
     edge = met.withColumn("e", F.explode(F.arrays_zip(F.col("ring").alias("a"), turned.alias("b"))))
     a, b = F.col("e.a"), F.col("e.b")

@@ -72,7 +72,7 @@ class Router:
         return self.parts.places.count()
 
     def counts(self) -> DataFrame:
-        return self.parts.cameras.agg(F.count("*").alias("cameras")).crossJoin(self.parts.places.agg(F.count("*").alias("places")))
+        return self.parts.cameras.agg(F.count("*").alias("cameras"), F.lit(self.place_count()).cast("bigint").alias("places"))
 
     def zones(self) -> DataFrame:
         return zones.table(self.parts.nodes.sparkSession)

@@ -278,8 +278,9 @@ def relax_one_to_all(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {b.EDGES_SQL}, t AS (SELECT CAST(count(*) AS BIGINT) AS edges, count(DISTINCT src) AS used FROM two), c AS (SELECT count(*) AS cameras, count(*) FILTER ({b.CAMERA['ai']}) AS ai_cameras, max({b.CAMERA['range_m']}) AS longest_m, round(avg({b.CAMERA['lat']}), 6) AS mean_lat FROM supplier) SELECT * FROM t, c""")
 def counts(spark: SparkSession, d: str) -> DataFrame:
     _, edges, _ = _edges(spark, d)
-    c = b.cameras(spark, d).agg(F.count("*").alias("cameras"), F.count_if("ai").alias("ai_cameras"), F.max("range_m").alias("longest_m"), F.round(F.avg("lat"), 6).alias("mean_lat"))
-    return edges.agg(F.count("*").alias("edges"), F.count_distinct("src").alias("used")).crossJoin(c)
+    e = edges.agg(F.count("*").alias("edges"), F.count_distinct("src").alias("used")).first()
+    own = [F.lit(e[n]).alias(n) for n in ("edges", "used")]
+    return b.cameras(spark, d).agg(*own, F.count("*").alias("cameras"), F.count_if("ai").alias("ai_cameras"), F.max("range_m").alias("longest_m"), F.round(F.avg("lat"), 6).alias("mean_lat"))
 
 
 @query(f"WITH {RINGS}, {CAMS}, m AS (SELECT (max(range_m) + 5) / 111195e0 AS dl, (max(range_m) + 5) / (111195e0 * greatest(cos(radians(avg(lat))), 0.01)) AS dn FROM cams) SELECT ring_id FROM rg, m WHERE EXISTS (SELECT 1 FROM cams c WHERE c.lat BETWEEN blat - hlat - dl AND blat + hlat + dl AND c.lon BETWEEN blon - hlon - dn AND blon + hlon + dn)")
