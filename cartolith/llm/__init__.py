@@ -3,11 +3,3 @@
 Each module holds one operator with its general interface and the thin
 ``opN_<name>`` query over the driver tables; ``registry`` collects the queries.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions travel to the executors by value, so workers need no copy of the
-# package on their own path.
-cloudpickle.register_pickle_by_value(sys.modules["cartolith"])

@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels
@@ -219,10 +220,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _leaks(docs: DataFrame, index: Index) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    # by value, as workers need not have the package
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
 
     def run(batches):
-        index = shared.value
+        index = cloudpickle.loads(shared.value)
         for batch in batches:
             found, doc = [], batch.column(0)
             if index.ids:

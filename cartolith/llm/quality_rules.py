@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep, table
 
 RISK, LEVEL = 0.05, 0.05
 WIDTH = 5
@@ -101,8 +101,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "stratum") ->
     losses = [F.count_if(F.col(r) > c).alias(f"{r}_{c}") for r in RULES for c in CUTOFFS]
     counts = measured.join(good, "doc_id", "left_semi").groupBy(stratum).agg(F.count("*").alias("n"), *losses)
     rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r in RULES for c in CUTOFFS])
-    each = counts.crossJoin(F.broadcast(counts.agg(F.count("*").alias("strata")))).select(stratum, "n", "strata", F.explode(rows).alias("t"))
-    tests = F.col("strata") * len(RULES) * len(CUTOFFS)
+    counts = keep(counts, "quality-counts")
+    tests = max(counts.count(), 1) * len(RULES) * len(CUTOFFS)
+    each = counts.select(stratum, "n", F.explode(rows).alias("t"))
     valid = each.where(binomial_tail(F.col("t.k"), F.col("n"), RISK / len(RULES)) <= LEVEL / tests)
     return valid.groupBy(stratum, F.col("t.rule").alias("rule")).agg(F.min("t.cutoff").alias("cutoff"))
 
