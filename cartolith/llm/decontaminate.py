@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import kernels
 from .common import only, table
@@ -210,8 +211,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items go to the driver (they are the bounded side) and to every task, in
     indexes of INDEX_ITEMS.
     """
-    docs = only(docs, "doc_id", "text")
-    items = sorted({(r["item_id"], r["text"]) for r in only(benchmark, "item_id", "text").where("text is not null and item_id is not null").collect()})
+    # lower case in all scripts, the same way for both
+    docs = only(docs, "doc_id", "text").withColumn("text", F.lower("text"))
+    items = sorted({(r["item_id"], r["text"]) for r in only(benchmark, "item_id", "text").where("text is not null and item_id is not null").withColumn("text", F.lower("text")).collect()})
     out = None
     for i in range(0, max(len(items), 1), INDEX_ITEMS):
         part = _leaks(docs, Index(items[i : i + INDEX_ITEMS]))

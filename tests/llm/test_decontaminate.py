@@ -45,6 +45,9 @@ def test_leaks(spark):
             text = r.choice([t for _, t in bench if t.count(".") > 1])
             words += text.rsplit(". ", 1)[0].split()
         rows.append((i, " ".join(words), 1.0))
+    bench.append((70, "Élan ça où. Übermut öffnet große Wälder, très tôt."))
+    rows.append((2000, "x " * 40 + bench[-1][1].upper().replace("SS", "ß") + " y" * 30, 0.0))
+    want.add((2000, 70))
     rows += [(1000, None, 0.0), (1001, "", 0.0), (None, bench[3][1], 0.0), (1002, "the of " * 3000, 0.0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double")
     b = spark.createDataFrame([*bench, (900, None), (901, " ., ")], "item_id bigint, text string")
