@@ -39,8 +39,8 @@ SPARE = 8
 RATIO = 1.6
 #: Ids of candidate sets that may be broadcast (8 bytes each); beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Keys with more members than this meet a second pivot before their members are compared with each other.
-PIVOT_AGAIN = 48
+#: Members of different components are compared with each other once that makes no more than so many pairs a row; until then, for so many turns at most, with further pivots.
+PAIRS_PER_ROW, MOST_PIVOTS = 4, 10
 _U = np.uint64
 
 
@@ -164,28 +164,28 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataF
     sets = keep(chosen.mapInArrow(lambda it: _sets(it, width, "set"), "doc_id bigint, hashes binary"), "parity-sets")
 
     links, tried, label = None, None, None
-    for turn in range(3):
-        now = groups.withColumn("comp", F.col("doc_id"))
+    for turn in range(MOST_PIVOTS + 1):
+        now, full = groups.withColumn("comp", F.col("doc_id")), False
         if label is not None:
             now = groups.where("c > 2").join(label, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
-            still = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            now = keep(now.join(still, "key", "left_semi"), "parity-open")
-            largest = now.agg(F.max("c")).first()[0]
-            if largest is None:
+            held = now.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("comps"))
+            still = keep(held.where("comps > 1"), "parity-still")
+            left = still.agg(F.sum(F.expr("(c * c - q) div 2")).alias("pairs"), F.sum("c").alias("rows")).first()
+            if not left["rows"]:
                 break
-            if turn == 1 and largest <= PIVOT_AGAIN:
-                continue
+            now = keep(now.join(still.select("key"), "key", "left_semi"), "parity-open")
+            full = left["pairs"] <= PAIRS_PER_ROW * left["rows"] or turn == MOST_PIVOTS
         near = (F.col("ac") != F.col("bc")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
-        if turn < 2:  # one pivot for each key
-            by = F.col("doc_id") if turn == 0 else F.xxhash64(F.lit(turn), "doc_id")
+        if not full:  # one pivot for each key, another in each turn
+            by = F.col("doc_id") if turn == 0 else F.xxhash64(F.lit(turn), "key", "doc_id")
             pivot = now.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "comp"), by).alias("p"))
             left = now.select("key", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
             right = pivot.select("key", F.col("p.doc_id").alias("b"), F.col("p.n").alias("bn"), F.col("p.comp").alias("bc"))
             pairs = left.join(right, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = pairs.join(bits.toDF("a", "an", "a_bits"), "a").join(bits.toDF("b", "bn", "b_bits"), "b").where(_close(percent))
         else:  # all pairs of different components that are left
-            full = now.join(bits.select("doc_id", "bits"), "doc_id")
-            left = full.select("key", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("bits").alias("a_bits"))
+            whole = now.join(bits.select("doc_id", "bits"), "doc_id")
+            left = whole.select("key", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("bits").alias("a_bits"))
             right = left.toDF("key", "b", "bn", "bc", "b_bits")
             pairs = left.join(right, "key").where(near & (F.col("a") < F.col("b")) & _close(percent))
         pairs = pairs.select("a", "b").distinct()
@@ -195,6 +195,8 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataF
         links = good if links is None else links.unionByName(good)
         tried = pairs if tried is None else tried.unionByName(pairs)
         label = components(links)
+        if full:
+            break
     out = members.join(label, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..constants import AVOIDANCE, BERLIN_BBOX, EARTH_RADIUS_M, M_PER_DEG_GRID, M_PER_DEG_LOCAL, ZONES
 from ..functions import geo, tags, text
 from ..operators import exposure, network, occluders, places, routing, viewport, zones
-from ..sources import geojson
+from ..schemas import OSM_RELATIONS
+from ..session import scratch_dir
+from ..sources import geojson, store
 from ..streaming import interactive
 from . import bridge as b
 
@@ -262,19 +264,73 @@ SMALL_GRAPH = f"""WITH RECURSIVE n AS (SELECT {b.select(b.NODE)} FROM customer),
 p AS (SELECT id AS node, 0e0 AS cost FROM n WHERE id = 0 UNION ALL SELECT node, cost FROM (SELECT dst AS node, min(cost + w) AS cost FROM p JOIN big ON src = node GROUP BY dst)) SELECT node, round(min(cost), 6) AS cost FROM p GROUP BY node"""
 
 
-@query(SMALL_GRAPH)
-def relax_one_to_all(spark: SparkSession, d: str) -> DataFrame:
-    """Costs from the first customer to all that lie right of or below it."""
+def _right_and_down(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     n = b.nodes(spark, d)
     z = n.select(F.col("id").alias("dst"), F.col("lat").alias("zlat"), F.col("lon").alias("zlon"), F.col("row_no").alias("zrow"))
     right = n.join(z, (F.col("dst") == F.col("id") + 1) & (F.col("zrow") == F.col("row_no")))
     down = n.join(z, F.col("dst") == F.col("id") + b.WIDTH)
     length = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("zlat"), F.col("zlon"))
-    edges = right.unionByName(down).select(F.col("id").alias("src"), "dst", length.alias("length_m"), F.lit(0.0).alias("exposure"))
+    return n, right.unionByName(down).select(F.col("id").alias("src"), "dst", length.alias("length_m"), F.lit(0.0).alias("exposure"))
+
+
+@query(SMALL_GRAPH)
+def relax_one_to_all(spark: SparkSession, d: str) -> DataFrame:
+    """Costs from the first customer to all that lie right of or below it."""
+    n, edges = _right_and_down(spark, d)
     source = n.where("id = 0").select(F.col("id").alias("source"))
     return routing.relax(source, n, edges, 0.0).select("node", r6(F.col("cost"), "cost"))
 
 
+@query(SMALL_GRAPH)
+def route_costs(spark: SparkSession, d: str) -> DataFrame:
+    """The same costs by a search for each customer."""
+    n, edges = _right_and_down(spark, d)
+    asked = n.select(F.col("id").alias("req_id"), F.lit(0).cast("bigint").alias("start_id"), F.col("id").alias("goal_id"), F.lit(0.0).alias("weight"))
+    return routing.routes(asked, n, edges).where("status = 'OK'").select(F.col("req_id").alias("node"), r6(F.col("cost"), "cost"))
+
+
+@query()
+def route_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Whole requests, from coordinates to a line of coordinates, one for each supplier."""
+    nodes, edges = _scored_grid(spark, d)
+    asked = b.derive(b.table(spark, d, "supplier"), {"req_id": "s_suppkey", "start_lat": "52.5e0 + (s_suppkey * 7919 % 3300) / 1e5", "start_lon": "13.4e0 + (s_suppkey * 10473 % 5400) / 1e5", "end_lat": "52.5e0 + (s_suppkey * 104729 % 3300) / 1e5", "end_lon": "13.4e0 + (s_suppkey * 3571 % 5400) / 1e5", "weight": "(s_suppkey % 4) / 1e0"})
+    out = routing.plan(asked, nodes, edges)
+    return out.select("req_id", "status", "start_id", "goal_id", r6(F.col("length_m"), "length_m"), r6(F.col("mean_exposure"), "mean_exposure"), F.size("polyline").alias("n_points"), geojson.line(F.col("polyline"), req_id=F.col("req_id")).alias("feature"))
+
+
+ROW_PATHS = f"{b.WALKABLE_ROW.replace('row_no', 'n.row_no')}"
+
+
+@query(f"""WITH {SAMPLES}, {CAMS}, hit AS (SELECT DISTINCT src, dst, k FROM s WHERE {in_zone('plat', 'plon')} UNION SELECT DISTINCT src, dst, k FROM s JOIN cams c ON {COVERS}), x AS (SELECT e.src, e.dst, e.length_m, coalesce(h.n, 0) / (st.steps + 1)::DOUBLE AS x FROM e JOIN st USING (src, dst) LEFT JOIN (SELECT src, dst, count(*) AS n FROM hit GROUP BY ALL) h USING (src, dst)),
+r AS (SELECT DISTINCT row_no AS req_id FROM n WHERE {ROW_PATHS}), t AS (SELECT row_no AS req_id, sum(length_m) AS l, sum(length_m * x) AS w FROM x JOIN n ON n.id = src WHERE dst = src + 1 GROUP BY row_no)
+SELECT req_id, round(coalesce(l, 0), 6) AS length_m, round(coalesce(w / l, 0), 6) AS mean_exposure FROM r LEFT JOIN t USING (req_id)""")
+def path_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths and exposures along each walkable grid row, summed from its edges."""
+    _, edges = _scored_grid(spark, d)
+    rows = b.nodes(spark, d).where(b.WALKABLE_ROW).groupBy(F.col("row_no").alias("req_id")).agg(F.sort_array(F.collect_list("id")).alias("path"))
+    return routing.path_totals(rows, edges).select("req_id", r6(F.col("length_m"), "length_m"), r6(F.col("mean_exposure"), "mean_exposure"))
+
+
+@query(f"WITH {b.EDGES_SQL} SELECT id, TRUE AS kept FROM n")
+def snapshot_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that an extract keeps: here every node is on a highway way."""
+    empty = spark.createDataFrame([], OSM_RELATIONS)
+    kept, _, _ = network.snapshot(b.osm_nodes(spark, d), b.osm_ways(spark, d), empty)
+    return kept.select("id", F.lit(True).alias("kept"))
+
+
+@query(f"""WITH {b.EDGES_SQL}, {CAMS}, {RINGS} SELECT (SELECT count(*) FROM two) AS edges, (SELECT count(*) FROM cams) AS cameras, (SELECT count(*) FROM rg) AS occluders, (SELECT CAST(sum(src * 3 + dst) AS BIGINT) FROM two) AS edge_sum""")
+def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Tables written to a store and read back under its checks."""
+    nodes, edges, named = network.network(b.osm_nodes(spark, d), b.osm_ways(spark, d))
+    parts = store.Parts(nodes, edges, b.cameras(spark, d), places.index(named), b.rings(spark, d))
+    path = scratch_dir(spark, "store")
+    store.write(parts, path, 1)
+    got = store.read(spark, path, 1)
+    other = {n: getattr(got, n).count() for n in ("cameras", "occluders")}
+    return got.edges.agg(F.count("*").alias("edges"), *[F.lit(v).cast("bigint").alias(n) for n, v in other.items()], F.sum(F.col("src") * 3 + F.col("dst")).alias("edge_sum"))
+
+
 @query(f"""WITH {b.EDGES_SQL}, t AS (SELECT CAST(count(*) AS BIGINT) AS edges, count(DISTINCT src) AS used FROM two), c AS (SELECT count(*) AS cameras, count(*) FILTER ({b.CAMERA['ai']}) AS ai_cameras, max({b.CAMERA['range_m']}) AS longest_m, round(avg({b.CAMERA['lat']}), 6) AS mean_lat FROM supplier) SELECT * FROM t, c""")
 def counts(spark: SparkSession, d: str) -> DataFrame:
     _, edges, _ = _edges(spark, d)
@@ -445,7 +501,7 @@ def wall_effect(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges, _ = _edges(spark, d)
     cams = b.cameras(spark, d)
     n = b.table(spark, d, "customer").agg(F.max("c_custkey")).first()[0] + 1
-    asked = b.table(spark, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("req_id"), F.col("c_custkey").alias("start_id"), ((F.col("c_custkey") * 17 + 3) % n).alias("goal_id"), F.lit(3.0).alias("weight"))
+    asked = b.table(spark, d, "customer").select(F.col("c_custkey").alias("req_id"), F.col("c_custkey").alias("start_id"), ((F.col("c_custkey") * 17 + 3) % n).alias("goal_id"), F.lit(3.0).alias("weight"))
     plain, walled = (routing.routes(asked, nodes, exposure.score(edges, cams, r)).where("status = 'OK'").select("req_id", F.col("length_m").alias(f"l{i}"), F.col("mean_exposure").alias(f"x{i}")) for i, r in enumerate((None, b.rings(spark, d))))
     both = plain.join(walled, "req_id")
     return both.agg(F.count("*").alias("planned"), F.count_if(F.col("x1") < F.col("x0") - 1e-6).alias("lower"), F.count_if(F.col("x1") > F.col("x0") + 1e-6).alias("higher"), F.count_if(F.abs(F.col("l1") - F.col("l0")) > 0.01).alias("other_path"), r6(F.avg(F.col("x0") - F.col("x1")), "mean_drop"), F.max_by("req_id", F.struct(F.col("x0") - F.col("x1"), "req_id")).alias("largest_drop"))

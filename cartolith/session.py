@@ -19,3 +19,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     import tempfile
 
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cartolith-"))
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
