@@ -1,7 +1,7 @@
 """Line dedup over content-defined chunks of lines, with DataFrame functions only.
 
-A hash rolls over each two lines that follow one another; its remainder is the
-class of the border between them. Consecutive borders of one class hold their
+A hash rolls over the hashes of each two lines that follow one another; its first
+digits are the class of the border between them. Consecutive borders of one class hold their
 lines together, a change of class is a boundary, so a chunk is a longest run of
 lines between boundaries (two lines at least, each border in exactly one chunk).
 A boundary depends on three lines alone: text inserted or removed elsewhere moves
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import keep, only, table
 
-CLASSES = 64
+#: Hexadecimal digits of a border's class: 256 classes.
+CLASS_DIGITS = 2
 LONG_WORDS = 50
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -32,10 +33,10 @@ def let(value: Column, body) -> Column:
 
 def chunks(lines: Column) -> Column:
     """Array of (pos, n): first line (from 0) and number of lines of each chunk."""
-    borders = lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - 2), lambda i: F.pmod(F.xxhash64(a[i], a[i + 1]), F.lit(CLASSES)))
+    borders = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.left(F.md5(F.concat(h[i], h[i + 1])), F.lit(CLASS_DIGITS)))
     begins = lambda c: F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (c[i] != F.get(c, i - 1)))
     runs = lambda c: let(begins(c), lambda b: F.transform(b, lambda x, j: F.struct(x.alias("pos"), (F.coalesce(F.get(b, j + 1), F.size(c)) - x + 1).alias("n"))))
-    several = F.when(F.size(lines) > 1, let(let(F.transform(lines, lambda x: F.xxhash64(x)), borders), runs))
+    several = F.when(F.size(lines) > 1, let(let(F.transform(lines, lambda x: F.md5(x)), borders), runs))
     long = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.lit(1).alias("n"), (F.regexp_count(x, F.lit(WORD)) >= LONG_WORDS).alias("long"))), lambda s: s["long"])
     none = F.array().cast("array<struct<pos:int,n:int>>")
     return F.concat(F.coalesce(several.cast("array<struct<pos:int,n:int>>"), none), F.transform(long, lambda s: F.struct(s["pos"], s["n"])).cast("array<struct<pos:int,n:int>>"))
@@ -78,8 +79,25 @@ def dedup(docs: DataFrame) -> DataFrame:
     return out.withColumn("text", F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))).select(*[F.col(f"`{c}`") for c in others], "removed")
 
 
+SQL = rf"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(ls) AS x, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS i FROM d),
+b AS (SELECT doc_id, i, left(md5(concat(md5(x), md5(lead(x) OVER o))), {CLASS_DIGITS}) AS c, lead(x) OVER o IS NOT NULL AS has FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, i, CASE WHEN lag(c) OVER (PARTITION BY doc_id ORDER BY i) = c THEN 0 ELSE 1 END AS new FROM b WHERE has),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+s AS (SELECT doc_id, min(i) AS pos, CAST(count(*) + 1 AS INTEGER) AS n FROM g GROUP BY doc_id, run UNION ALL SELECT doc_id, i, 1 FROM l WHERE len(regexp_extract_all(x, '{WORD}')) >= {LONG_WORDS}),
+t AS (SELECT doc_id, pos, n, array_to_string(ls[pos + 1 : pos + n], chr(10)) AS body FROM s JOIN d USING (doc_id)),
+r AS (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS k FROM t WHERE regexp_matches(body, '{WORD}')),
+x AS (SELECT DISTINCT doc_id, CAST(pos + j AS INTEGER) AS i FROM r, range(100000) q(j) WHERE k > 1 AND j < n),
+y AS (SELECT doc_id, list_sort(list(i)) AS removed FROM x GROUP BY doc_id),
+z AS (SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.i) AS body FROM l ANTI JOIN x ON x.doc_id = l.doc_id AND x.i = l.i GROUP BY l.doc_id)
+SELECT o.doc_id, CAST(CASE WHEN o.text IS NULL THEN NULL ELSE len(string_split(coalesce(z.body, ''), chr(10))) END AS INTEGER) AS n_lines_left, CAST(len(coalesce(y.removed, [])) AS INTEGER) AS n_removed, coalesce(y.removed, []) AS removed,
+  CASE WHEN o.text IS NULL THEN NULL ELSE CAST(strlen(coalesce(z.body, '')) AS INTEGER) END AS n_bytes_left, CASE WHEN o.text IS NULL THEN NULL ELSE md5(coalesce(z.body, '')) END AS text_md5
+FROM documents o LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the number of lines left, the removed lines, and the length
-    and crc32 of the text that stays."""
+    and md5 of the text that stays."""
     out = dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines_left"), F.size("removed").alias("n_removed"), "removed", F.octet_length("text").alias("n_bytes_left"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+    return out.select("doc_id", F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).alias("n_lines_left"), F.size("removed").alias("n_removed"), "removed", F.octet_length("text").alias("n_bytes_left"), F.md5("text").alias("text_md5"))

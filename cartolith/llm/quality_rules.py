@@ -126,22 +126,25 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: The measures in SQL, as table expressions that end in m.
+MEASURED_SQL = rf"""d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, 'und') AS stratum FROM documents),
+s AS (SELECT *, regexp_extract_all(t, '{WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM d),
+e0 AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM s),
+g0 AS (SELECT doc_id, i, CASE WHEN lead(w, 4) OVER o IS NOT NULL THEN [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o] END AS g FROM e0 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c0 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g0 WHERE g IS NOT NULL),
+r0 AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM c0, range(5) AS x(k) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT s.doc_id, stratum, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(regexp_extract_all(t, '!')) AS BIGINT) AS n_bangs, CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_capitals,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM s LEFT JOIN r0 USING (doc_id))"""
+
+
 def _sql() -> str:
     grid = ", ".join(f"('{r}', {c})" for r in RULES for c in CUTOFFS)
     share = {"symbols": ("n_symbols", "n_words"), "bangs": ("n_bangs", "n_words"), "capitals": ("n_capitals", "word_chars"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines")}
     long = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, (1000 * {x}) // greatest({n}, 1) AS v FROM m" for r, (x, n) in share.items())
     p = RISK / len(RULES)
-    word = r"[^\x20\x09-\x0D]+"
-    return rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, 'und') AS stratum FROM documents),
-s AS (SELECT *, regexp_extract_all(t, '{word}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM d),
-e AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM s),
-g AS (SELECT doc_id, i, CASE WHEN lead(w, 4) OVER o IS NOT NULL THEN [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o] END AS g FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE g IS NOT NULL),
-r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM c, range(5) AS x(k) WHERE n > 1 GROUP BY doc_id),
-m AS (SELECT s.doc_id, stratum, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(regexp_extract_all(t, '!')) AS BIGINT) AS n_bangs, CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_capitals,
-  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM s LEFT JOIN r USING (doc_id)),
+    return f"""
+WITH {MEASURED_SQL},
 v AS ({long}),
 q AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
 grid(rule, cutoff) AS (VALUES {grid}),

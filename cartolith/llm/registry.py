@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.SQL,
+    "op6_site_quality": site_quality.SQL,
+    "op7_line_dedup": line_dedup.SQL,
 }

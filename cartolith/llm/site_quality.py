@@ -118,4 +118,39 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
 
 
 def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("evidence", "doc_probability", "host_posterior", "path_posterior", "score")], "kept")
+
+
+def _sql() -> str:
+    value = {"symbols": "(1000 * n_symbols) // greatest(n_words, 1)", "bangs": "(1000 * n_bangs) // greatest(n_words, 1)", "capitals": "(1000 * n_capitals) // greatest(word_chars, 1)", "repeats": "(1000 * n_repeat_words) // greatest(n_words, 1)", "dup_lines": "(1000 * n_dup_lines) // greatest(n_lines, 1)", "words": "n_words", "word_length": "(1000 * word_chars) // greatest(n_words, 1)"}
+    bins = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS f, {len(e) + 1} AS size, CASE {' '.join(f'WHEN {value[n]} <= {x} THEN {k}' for k, x in enumerate(e))} ELSE {len(e)} END AS b FROM m" for n, e in EDGES.items())
+    grid = ", ".join(f"('{n}', {k}, {len(e) + 1})" for n, e in EDGES.items() for k in range(len(e) + 1))
+    logit = "ln(least(greatest({0}, 1e-6), 1 - 1e-6) / (1 - least(greatest({0}, 1e-6), 1 - 1e-6)))".format("pm")
+
+    def strength(groups: str, mean: str) -> str:
+        return f"(SELECT least(greatest((sum({mean} * (1 - {mean}) * n) / sum(n)) / greatest(sum(n * pow(s / n - {mean}, 2)) / sum(n) - sum(greatest(q / n - pow(s / n, 2), 0)) / sum(n), 1e-9) - 1, {WEAKEST}), {STRONGEST}) FROM {groups})"
+
+    return f"""
+WITH {quality_rules.MEASURED_SQL},
+bins AS ({bins}),
+y AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+c AS (SELECT f, b, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM bins JOIN y USING (doc_id) GROUP BY ALL),
+tot AS (SELECT count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM y SEMI JOIN m USING (doc_id)),
+ratio AS (SELECT g.f, g.b, ln((coalesce(c.good, 0) + 1) / (tot.good + g.size)::DOUBLE / ((coalesce(c.bad, 0) + 1) / (tot.bad + g.size)::DOUBLE)) AS r FROM (VALUES {grid}) g(f, b, size) CROSS JOIN tot LEFT JOIN c ON c.f = g.f AND c.b = g.b),
+ev AS (SELECT doc_id, sum(r) AS evidence FROM bins JOIN ratio USING (f, b) GROUP BY doc_id),
+e AS (SELECT o.doc_id, coalesce(o.source, '') AS host, coalesce(o.lang, '') AS path, evidence, 1 / (1 + exp(-(evidence + ln((tot.good + 1) / (tot.bad + 1)::DOUBLE)))) AS p FROM documents o JOIN ev USING (doc_id), tot),
+pa AS (SELECT host, path, count(*) AS n, sum(p) AS s, sum(p * p) AS q FROM e GROUP BY ALL),
+ho AS (SELECT host, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM pa GROUP BY ALL),
+al AS (SELECT sum(n)::DOUBLE AS n, sum(s) AS s, sum(s) / sum(n) AS mean FROM ho),
+hs AS (SELECT ho.*, al.mean FROM ho, al),
+kh AS (SELECT {strength("hs", "mean")} AS kh),
+ps AS (SELECT pa.*, (ho.s + kh * mean) / (ho.n + kh) AS hm FROM pa JOIN ho USING (host), al, kh),
+kp AS (SELECT {strength("ps", "hm")} AS kp),
+h AS (SELECT e.*, pa.n AS pn, pa.s AS ps, (ho.s - p + kh * CASE WHEN al.n > 1 THEN (al.s - p) / greatest(al.n - 1, 1) ELSE al.mean END) / (ho.n - 1 + kh) AS hp FROM e JOIN pa USING (host, path) JOIN ho ON ho.host = e.host, al, kh),
+x AS (SELECT h.*, (ps - p + kp * hp) / (pn - 1 + kp) AS pm FROM h, kp),
+z AS (SELECT *, 1 / (1 + exp(-(evidence + {logit}))) AS score FROM x)
+SELECT doc_id, round(evidence, 6) AS evidence, round(p, 6) AS doc_probability, round(hp, 6) AS host_posterior, round(pm, 6) AS path_posterior, round(score, 6) AS score, score >= 0.5 AS kept FROM z"""
+
+
+SQL = _sql()

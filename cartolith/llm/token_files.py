@@ -174,6 +174,8 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None =
         if out is not None:
             writer.close()
             out.close()
+            if store.get_file_info(name).is_file:  # of an earlier try of this task
+                store.delete_file(name)
             store.move(temporary, name)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([name]), "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_tokens": pa.array([n], pa.int64())})
 
