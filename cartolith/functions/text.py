@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import AI_FEATURES, COMPASS, FOLD_FROM, FOLD_TO, MAX_TAG_BYTES
 
 #: White space in the Unicode sense.
-_SPACE = r"[\x09-\x0D\x20\x85\xA0  -     　]"
+_SPACE = r"[\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _NOT_FINITE = r"(?i)^[+-]?(inf|infinity|nan)$"
 
