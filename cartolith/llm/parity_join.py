@@ -12,8 +12,8 @@ word) keys give the candidates. A second sketch holds one parity bit for each of
 difference too and rejects candidates before their sets are compared exactly.
 
 Steps: equal sets become one class (any number of copies is one row from here
-on); keys of one member are dropped; of its most frequent keys a set drops as
-many as the pigeonhole count allows, so that widely shared passages make no
+on); keys of one member are dropped; of its most frequent keys in a band a set drops as
+many as the pigeonhole count allows, so that widely shared passages make few
 pairs; each key's members are compared with a pivot, and only the members that
 still lie in different components are compared with each other. No pair inside a
 component is ever listed.
@@ -29,18 +29,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import forget, keep, only, table
+from .common import forget, keep, map_arrow, only, table
 from .components import components
 
 WIDTH = 5
 PERCENT = 80
 BITS = 2048
 SPARE = 8
+#: Low bits of a key, which hold its band.
+BAND_MASK = 63
 RATIO = 1.6
 #: Ids of candidate sets that may be broadcast (8 bytes each); beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Members of different components are compared with each other once that makes no more than so many pairs a row; until then, for so many turns at most, with further pivots.
-PAIRS_PER_ROW, MOST_PIVOTS = 4, 10
+#: Members of different components are compared with each other once that makes no more than so many pairs a row, or once a turn with new pivots leaves more than this share of the pairs; until then there are further pivots, for so many turns at most.
+PAIRS_PER_ROW, PIVOTS_HELP, MOST_PIVOTS = 4, 0.7, 10
 _U = np.uint64
 
 
@@ -78,11 +80,12 @@ def bands(percent: int = PERCENT, largest: int = 1 << 31) -> list[tuple[int, int
 _BANDS = bands()
 
 
-def sketch(u: np.ndarray) -> tuple[bytes, np.ndarray, int]:
-    """Parity bits and join keys of a sorted set of hashes, and how many of the
-    keys may go: a linked set shares more keys than that in every common band."""
+def sketch(u: np.ndarray) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:
+    """Parity bits and join keys of a sorted set of hashes, and for each band how
+    many of its keys may go: a linked set shares more keys than that in the band.
+    The low bits of a key are its band."""
     bits = np.packbits((np.bincount((u & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
-    keys, room, n = [], SPARE, len(u)
+    keys, rooms, n = [], [], len(u)
     for k, (lo, hi, p, sure) in enumerate(_BANDS):
         if lo > n:
             break
@@ -91,10 +94,10 @@ def sketch(u: np.ndarray) -> tuple[bytes, np.ndarray, int]:
             first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
             word = np.bitwise_xor.reduceat(kernels.mix(u), first)
             full = word != 0
-            keys.append(kernels.mix(word[full] ^ kernels.mix(block[first][full] * _U(0x9FB21C651E98DF25) + _U(k + 1))))
-            if sure:
-                room = min(room, max(0, len(keys[-1]) - most_apart(n + min(hi, n * 100 // PERCENT)) - 1))
-    return bits, np.concatenate(keys), room
+            mixed = kernels.mix(word[full] ^ kernels.mix(block[first][full] * _U(0x9FB21C651E98DF25) + _U(k + 1)))
+            keys.append((mixed & ~_U(BAND_MASK)) | _U(k))
+            rooms.append((k, max(0, len(mixed) - most_apart(n + min(hi, n * 100 // PERCENT)) - 1) if sure else SPARE))
+    return bits, np.concatenate(keys), rooms
 
 
 def _sets(batches, width: int, what: str):
@@ -108,13 +111,13 @@ def _sets(batches, width: int, what: str):
             if what == "set":
                 out["hashes"] = pa.array([u.tobytes() for u in sets], pa.binary())
             else:
-                made = [sketch(u) if len(u) else (b"", np.zeros(0, np.uint64), 0) for u in sets]
+                made = [sketch(u) if len(u) else (b"", np.zeros(0, np.uint64), []) for u in sets]
                 sizes = np.array([len(x) for _, x, _ in made])
                 out["n"] = pa.array([len(u) for u in sets], pa.int64())
                 out["fp"] = pa.array([len(u).to_bytes(8, "little") + np.add.reduce(kernels.mix(u)).tobytes() + np.bitwise_xor.reduce(kernels.mix(u ^ _U(0xA5A5A5A5))).tobytes() for u in sets], pa.binary())
                 out["bits"] = pa.array([np.frombuffer(b, "<i8") if b else None for b, _, _ in made], pa.list_(pa.int64()))
                 flat = np.concatenate([x for _, x, _ in made]) if made else np.zeros(0, np.uint64)
-                out["room"] = pa.array([r for _, _, r in made], pa.int32())
+                out["rooms"] = pa.array([[{"band": k, "room": r} for k, r in rooms] for _, _, rooms in made], pa.list_(pa.struct([("band", pa.int32()), ("room", pa.int32())])))
                 out["keys"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_pydict(out)
 
@@ -134,6 +137,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataF
     its own included) of docs(doc_id, text).
 
     Null or empty texts, and texts without words, have n_shingles 0 and are alone.
+    A null doc_id joins the class of equal texts, and links with nothing else.
     Repeated rows and ties are equal sets and so one class. An empty table gives
     an empty table. Other columns are ignored.
     """
@@ -141,9 +145,9 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataF
         raise ValueError(f"the size bands are laid out for {PERCENT} percent")
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text")
-    made = keep(docs.mapInArrow(lambda it: _sets(it, width, "sketch"), "doc_id bigint, n bigint, fp binary, bits array<bigint>, room int, keys array<bigint>"), "parity")
-    sizes = keep(made.select("doc_id", "n", "fp", "room"), "parity-sizes")
-    reps = keep(sizes.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("room").alias("room")), "parity-reps")
+    made = keep(map_arrow(docs, lambda it: _sets(it, width, "sketch"), "doc_id bigint, n bigint, fp binary, bits array<bigint>, rooms array<struct<band:int,room:int>>, keys array<bigint>"), "parity")
+    sizes = keep(made.select("doc_id", "n", "fp", "rooms"), "parity-sizes")
+    reps = keep(sizes.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("rooms").alias("rooms")), "parity-reps")
     members = sizes.join(reps.select("fp", "rep"), "fp")
 
     copies = keep(members.where("doc_id <> rep or n = 0").select("doc_id").distinct(), "parity-copies")
@@ -151,9 +155,10 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataF
     keys = made.select("doc_id", "keys").join(_small(copies), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
     keys = keys.repartition("key")
     often = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("c"), "key"))
-    sized = reps.select(F.col("rep").alias("doc_id"), "n", "room")
-    met = keep(keys.join(often, "key").withColumn("rank", rank).join(sized, "doc_id").where("rank > room").select("doc_id", "n", "key"), "parity-met")
+    band = F.expr(f"cast(key & {BAND_MASK} as int)")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "band").orderBy(F.desc("c"), "key"))
+    sized = reps.select(F.col("rep").alias("doc_id"), "n", F.explode("rooms").alias("r")).select("doc_id", "n", "r.*")
+    met = keep(keys.join(often, "key").withColumn("band", band).withColumn("rank", rank).join(sized, ["doc_id", "band"]).where("rank > room").select("doc_id", "n", "key"), "parity-met")
     often = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     groups = keep(met.join(often, "key"), "parity-groups")
 
@@ -161,9 +166,9 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataF
     bits = keep(made.select("doc_id", "n", "bits").join(_small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "parity-bits")
     forget(spark, met, made)
     chosen = docs.join(_small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = keep(chosen.mapInArrow(lambda it: _sets(it, width, "set"), "doc_id bigint, hashes binary"), "parity-sets")
+    sets = keep(map_arrow(chosen, lambda it: _sets(it, width, "set"), "doc_id bigint, hashes binary"), "parity-sets")
 
-    links, tried, label = None, None, None
+    links, label, before = None, None, None
     for turn in range(MOST_PIVOTS + 1):
         now, full = groups.withColumn("comp", F.col("doc_id")), False
         if label is not None:
@@ -174,11 +179,14 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataF
             if not left["rows"]:
                 break
             now = keep(now.join(still.select("key"), "key", "left_semi"), "parity-open")
-            full = left["pairs"] <= PAIRS_PER_ROW * left["rows"] or turn == MOST_PIVOTS
+            helped = before is None or left["pairs"] < PIVOTS_HELP * before
+            full = left["pairs"] <= PAIRS_PER_ROW * left["rows"] or not helped or turn == MOST_PIVOTS
+            before = left["pairs"]
         near = (F.col("ac") != F.col("bc")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
-        if not full:  # one pivot for each key, another in each turn
-            by = F.col("doc_id") if turn == 0 else F.xxhash64(F.lit(turn), "key", "doc_id")
-            pivot = now.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "comp"), by).alias("p"))
+        if not full:  # a pivot or two for each key, others in each turn
+            orders = [F.col("doc_id")] if turn == 0 else [F.xxhash64(F.lit(2 * turn + i), "doc_id") for i in (0, 1)]
+            pivots = F.array(*[F.min_by(F.struct("doc_id", "n", "comp"), by) for by in orders])
+            pivot = now.groupBy("key").agg(pivots.alias("p")).select("key", F.explode(F.array_distinct("p")).alias("p"))
             left = now.select("key", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
             right = pivot.select("key", F.col("p.doc_id").alias("b"), F.col("p.n").alias("bn"), F.col("p.comp").alias("bc"))
             pairs = left.join(right, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -188,12 +196,10 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataF
             left = whole.select("key", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("bits").alias("a_bits"))
             right = left.toDF("key", "b", "bn", "bc", "b_bits")
             pairs = left.join(right, "key").where(near & (F.col("a") < F.col("b")) & _close(percent))
-        pairs = pairs.select("a", "b").distinct()
-        pairs = keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "parity-pairs")
+        pairs = keep(pairs.select("a", "b").distinct(), "parity-pairs")
         with_sets = pairs.join(sets.toDF("a", "x_set"), "a").join(sets.toDF("b", "y_set"), "b")
-        good = keep(with_sets.mapInArrow(lambda it: _verify(it, percent), "a bigint, b bigint, ok boolean").where("ok").select("a", "b"), "parity-links")
+        good = keep(map_arrow(with_sets, lambda it: _verify(it, percent), "a bigint, b bigint, ok boolean").where("ok").select("a", "b"), "parity-links")
         links = good if links is None else links.unionByName(good)
-        tried = pairs if tried is None else tried.unionByName(pairs)
         label = components(links)
         if full:
             break
