@@ -61,6 +61,41 @@ def process_cache(name: str) -> dict:
     return sys.modules.setdefault("_cartolith_process", types.ModuleType("_cartolith_process")).__dict__.setdefault(name, {})
 
 
+#: Bytes of an Arrow batch. Spark's own default is four times this; a batch is held
+#: in the JVM and in the worker, and again on the way back.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_DEFAULT, ARROW_BATCH = "67108864b", "16m"
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, so that an idle worker is small."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow(function, schema) with batches of ARROW_BATCH bytes, unless the
+    session sets a size, and with workers that give memory back after each task."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_BYTES, ARROW_DEFAULT) == ARROW_DEFAULT:
+        conf.set(ARROW_BYTES, ARROW_BATCH)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns alone, so that extra columns never clash."""
     return df.select(*[F.col(f"`{c}`") for c in cols])

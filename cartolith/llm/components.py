@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keep
+from .common import forget, keep, map_arrow
 
 #: Edges (16 bytes each) that one task may join; beyond, they are contracted in rounds.
 ONE_TASK = 1_000_000
@@ -42,7 +42,7 @@ def components(edges: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK
     spark = edges.sparkSession
     now = keep(edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), "cc")
     if now.count() <= one_task:
-        return keep(now.coalesce(1).mapInArrow(_join, "node bigint, component bigint"), "cc-joined")
+        return keep(map_arrow(now.coalesce(1), _join, "node bigint, component bigint"), "cc-joined")
     seen = None
     for _ in range(most_rounds):
         # large star: each neighbour above u goes to the least of u and its neighbours

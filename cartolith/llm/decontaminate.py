@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import only, table
+from .common import map_arrow, only, table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.7
@@ -236,7 +236,7 @@ def _leaks(docs: DataFrame, index: Index) -> DataFrame:
             names = ["doc_id", "item_id", "score", "question_share", "answer_share", "first_word"]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names)
 
-    return docs.mapInArrow(run, "doc_id bigint, item_id bigint, score double, question_share double, answer_share double, first_word bigint")
+    return map_arrow(docs, run, "doc_id bigint, item_id bigint, score double, question_share double, answer_share double, first_word bigint")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import id_remainder, only, table
+from .common import id_remainder, map_arrow, only, table
 
 #: Training texts of one language, of all, and the longest in bytes.
 PER_LANGUAGE, MOST_TEXTS, LONGEST_TRAINING = 300, 6_000, 1 << 20
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, usable: Column | None = None) -> Model | None:
                         vectors.append(f.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(vectors, pa.binary())], ["lang", "v"])
 
-    rows = sorted(((r["lang"], bytes(r["v"])) for r in chosen.mapInArrow(run, "lang string, v binary").collect()))
+    rows = sorted(((r["lang"], bytes(r["v"])) for r in map_arrow(chosen, run, "lang string, v binary").collect()))
     if not rows:
         return None
     return Model(np.array([np.frombuffer(v, np.float32) for _, v in rows]), np.array([lang for lang, _ in rows]))
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return map_arrow(only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint")), run, "doc_id bigint, lang_pred string, score double")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

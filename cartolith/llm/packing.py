@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import keep, table
+from .common import keep, map_arrow, table
 
 LENGTH = 2048
 END_ID = 1
@@ -56,7 +56,7 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str
                 del out["ids"]
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()})
 
-    return made.mapInArrow(cut, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids)
+    return map_arrow(made, cut, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids)
 
 
 def windows(pieces: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:

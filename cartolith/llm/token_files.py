@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import keep, only, scratch, table
+from .common import keep, map_arrow, only, scratch, table
 
 #: Fixed values of the seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -179,7 +179,7 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None =
             store.move(temporary, name)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([name]), "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_tokens": pa.array([n], pa.int64())})
 
-    return keep(ordered.mapInArrow(run, "part int, file string, n_docs bigint, n_tokens bigint"), "token-manifest")
+    return keep(map_arrow(ordered, run, "part int, file string, n_docs bigint, n_tokens bigint"), "token-manifest")
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                     while some := list(itertools.islice(every, 10_000)):
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*some)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def round_trip(ids: list[bytes]) -> list[bytes]:

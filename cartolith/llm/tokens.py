@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import only, process_cache
+from .common import map_arrow, only, process_cache
 
 #: Pieces that a worker remembers, ids it keeps for them, and their longest length in bytes.
 REMEMBERED, IDS_KEPT, LONGEST = 1_500_000, 8_000_000, 64
@@ -205,4 +205,4 @@ def encode(docs: DataFrame, end_id: int, path: str | None = None) -> DataFrame:
                     "ids": pa.array([raw[a:b] + end for a, b in zip(at, at[1:])], pa.binary()),
                 })
 
-    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, "part int, doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return map_arrow(only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint")), run, "part int, doc_id bigint, start bigint, n_tokens bigint, ids binary")

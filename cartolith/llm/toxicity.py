@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import id_remainder, only, process_cache, table
+from .common import id_remainder, map_arrow, only, process_cache, table
 
 #: Labelled documents used for training, and the longest of them in bytes.
 MOST_TOXIC, MOST_ORDINARY, LONGEST_TRAINING = 1500, 4000, 1 << 20
 DICT_ORDINARY, DICT_TOXIC = 12_000, 8_192
 GRAM = 5
 WINDOW_BYTES = 48
+#: Words whose value a worker remembers.
+REMEMBERED = 200_000
 BEST = 5
 #: A five-byte string is toxic where its share of documents is so many times larger, with that log-likelihood ratio.
 TIMES, LEAST_RATIO = 4, 30
@@ -65,6 +67,20 @@ def _split(text: str) -> list[bytes]:
     return [low[a:b] for a, b in zip(s.tolist(), e.tolist())]
 
 
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The five-byte strings of some texts and in how many texts each is; a few
+    texts at a time, so that no more than the distinct ones are held."""
+    grams, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for i in range(0, len(texts), 250):
+        some, m = np.unique(np.concatenate([_grams(b" " + b" ".join(_split(t)) + b" ") for t in texts[i : i + 250]]), return_counts=True)
+        both, m = np.concatenate((grams, some)), np.concatenate((n, m))
+        order = np.argsort(both, kind="stable")
+        both, m = both[order], m[order]
+        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
+        grams, n = both[first], np.add.reduceat(m, first) if len(first) else m
+    return grams, n
+
+
 class Model:
     """What the executors need: two dictionaries, the value of each pair of
     lengths, and the cut."""
@@ -114,9 +130,8 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
     first = {t: zlib.crc32(t.encode()) % 3 != 0 for t in toxic + ordinary}
     fit_t, fit_o = ([t for t in x if first[t]] or x for x in (toxic, ordinary))
     check_t, check_o = ([t for t in x if not first[t]] or x for x in (toxic, ordinary))
-    split_t, split_o = [_split(t) for t in fit_t], [_split(t) for t in fit_o]
-    with_t, n_t = np.unique(np.concatenate([_grams(b" " + b" ".join(w) + b" ") for w in split_t]), return_counts=True)
-    with_o, n_o = np.unique(np.concatenate([_grams(b" " + b" ".join(w) + b" ") for w in split_o]), return_counts=True)
+    with_t, n_t = _counts(fit_t)
+    with_o, n_o = _counts(fit_o)
     if len(with_o):
         at = np.minimum(np.searchsorted(with_o, with_t), len(with_o) - 1)
         other = np.where(with_o[at] == with_t, n_o[at], 0)
@@ -139,27 +154,26 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
 
     seen: dict[bytes, list[bytes]] = {}
     counts: Counter = Counter()
-    for w in split_t:
-        for x in set(w):
+    for t in fit_t:
+        for x in set(_split(t)):
             if x not in seen:
                 seen[x] = strings(x)
             counts.update(seen[x])
     known = b"\0".join(w for w, n in sorted(counts.items(), key=lambda x: (x[1], x[0])) if n > 1)[-DICT_TOXIC:]
     common: Counter = Counter()
-    for w in split_o:
-        common.update(set(w))
+    for t in fit_o:
+        common.update(set(_split(t)))
     usual = b" ".join(w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:20_000][::-1])[-DICT_ORDINARY:]
     model = Model(usual + b" " + FRAME, usual + b" " + known + b" " + FRAME)
 
     cells_t, cells_o = Counter(), Counter()
-    words_t, words_o = [set(_split(t)) for t in check_t], [set(_split(t)) for t in check_o]
-    for words, cells in ((words_t, cells_t), (words_o, cells_o)):
-        for w in words:
-            cells.update({model.lengths(x[:WINDOW_BYTES]) for x in w})
+    for texts, cells in ((check_t, cells_t), (check_o, cells_o)):
+        for t in texts:
+            cells.update({model.lengths(x[:WINDOW_BYTES]) for x in set(_split(t))})
     for cell in cells_t | cells_o:
-        model.value[cell] = math.log((cells_t[cell] + 0.5) / (len(words_t) + 1)) - math.log((cells_o[cell] + 0.5) / (len(words_o) + 1))
-    totals = np.array([model.total(w) for w in words_t + words_o])
-    truth = np.arange(len(totals)) < len(words_t)
+        model.value[cell] = math.log((cells_t[cell] + 0.5) / (len(check_t) + 1)) - math.log((cells_o[cell] + 0.5) / (len(check_o) + 1))
+    totals = np.array([model.total(set(_split(t))) for t in check_t + check_o])
+    truth = np.arange(len(totals)) < len(check_t)
     levels = np.unique(np.concatenate((totals, [0.5])))
     f1 = [2 * (truth & (totals >= c)).sum() / (truth.sum() + (totals >= c).sum()) for c in levels]
     best = int(np.argmax(f1))
@@ -171,7 +185,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
 def totals(model: Model, column: pa.Array):
     """(first row, sums) over a string column."""
     known = process_cache("toxicity").setdefault(zlib.crc32(model.toxic + model.ordinary + model.value.tobytes()), {})
-    for first, data, off in kernels.slices(column, 2 << 20):
+    for first, data, off in kernels.slices(column):
         s, e, h, at = kernels.words(data, off, True, APART)
         out = np.zeros(len(off) - 1)
         if len(s):
@@ -183,7 +197,7 @@ def totals(model: Model, column: pa.Array):
                 v = known.get(key)
                 if v is None:
                     v = model.of(raw[a[i] : b[i]])
-                    if len(known) < 400_000:
+                    if len(known) < REMEMBERED:
                         known[key] = v
                 value[i] = v
             hits = np.flatnonzero(value[inverse] > 0)
@@ -216,7 +230,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable=None) -> Model | None:
