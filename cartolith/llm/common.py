@@ -57,14 +57,18 @@ def id_remainder(col: str, n: int) -> Column:
 
 
 def process_cache(name: str) -> dict:
-    """A dict that outlives tasks within one Python worker."""
-    return sys.modules.setdefault("_cartolith_process", types.ModuleType("_cartolith_process")).__dict__.setdefault(name, {})
+    """A dict that outlives tasks within one Python worker. Only the last name asked
+    for keeps its dict: a worker that turns to another operator lets go of the rest."""
+    kept = sys.modules.setdefault("_cartolith_process", types.ModuleType("_cartolith_process")).__dict__.setdefault("kept", {})
+    if name not in kept:
+        kept.clear()
+    return kept.setdefault(name, {})
 
 
-#: Bytes of an Arrow batch. Spark's own default is four times this; a batch is held
+#: Bytes of an Arrow batch. Spark's own default is eight times this; a batch is held
 #: in the JVM and in the worker, and again on the way back.
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-ARROW_DEFAULT, ARROW_BATCH = "67108864b", "16m"
+ARROW_DEFAULT, ARROW_BATCH = "67108864b", "8m"
 
 
 def give_back() -> None:

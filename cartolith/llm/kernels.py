@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = (1 << 19) - 64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) over runs of rows of about most_bytes; a longer
     text is a run of its own. Null texts are empty."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]

@@ -20,7 +20,7 @@ from . import kernels
 from .common import map_arrow, only, process_cache
 
 #: Pieces that a worker remembers, ids it keeps for them, and their longest length in bytes.
-REMEMBERED, IDS_KEPT, LONGEST = 1_500_000, 8_000_000, 64
+REMEMBERED, IDS_KEPT, LONGEST = 700_000, 4_000_000, 64
 _BASES = (kernels.BASE, 0xD1342543DE82EF95)
 _U = np.uint64
 
