@@ -108,11 +108,13 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "stratum") ->
     return valid.groupBy(stratum, F.col("t.rule").alias("rule")).agg(F.min("t.cutoff").alias("cutoff"))
 
 
-def decide(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def decide(docs: DataFrame, labels: DataFrame, with_text: bool = True) -> DataFrame:
     """measure(docs) with stratum, the measures, the rules that reject (an array)
     and kept: false where the base rules fail or a rule rejects. A null lang is
-    the stratum und. An empty table gives an empty table."""
+    the stratum und. An empty table gives an empty table. Without with_text the
+    texts are left out, and the measures are written once and read twice."""
     found = measure(docs).withColumn("stratum", F.coalesce(F.col("lang").cast("string"), F.lit("und"))).withColumns(measures())
+    found = found if with_text else keep(found.drop("text"), "quality-measures")
     chosen = cutoffs(found, labels).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))
     # one row a stratum: its number is that of the languages, counted before it is broadcast
     chosen = F.broadcast(chosen) if chosen.count() <= 10_000 else chosen
@@ -122,7 +124,7 @@ def decide(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decide(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    out = decide(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"), with_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
