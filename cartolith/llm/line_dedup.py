@@ -91,7 +91,7 @@ r AS (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY body ORDER BY doc_i
 x AS (SELECT DISTINCT doc_id, CAST(pos + j AS INTEGER) AS i FROM r, range(100000) q(j) WHERE k > 1 AND j < n),
 y AS (SELECT doc_id, list_sort(list(i)) AS removed FROM x GROUP BY doc_id),
 z AS (SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.i) AS body FROM l ANTI JOIN x ON x.doc_id = l.doc_id AND x.i = l.i GROUP BY l.doc_id)
-SELECT o.doc_id, CAST(CASE WHEN o.text IS NULL THEN NULL ELSE len(string_split(coalesce(z.body, ''), chr(10))) END AS INTEGER) AS n_lines_left, CAST(len(coalesce(y.removed, [])) AS INTEGER) AS n_removed, coalesce(y.removed, []) AS removed,
+SELECT o.doc_id, CAST(CASE WHEN o.text IS NULL THEN NULL ELSE len(string_split(coalesce(z.body, ''), chr(10))) END AS INTEGER) AS n_lines_left, CAST(len(coalesce(y.removed, [])) AS INTEGER) AS n_removed, array_to_string(coalesce(y.removed, []), ',') AS removed,
   CASE WHEN o.text IS NULL THEN NULL ELSE CAST(strlen(coalesce(z.body, '')) AS INTEGER) END AS n_bytes_left, CASE WHEN o.text IS NULL THEN NULL ELSE md5(coalesce(z.body, '')) END AS text_md5
 FROM documents o LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)"""
 
@@ -100,4 +100,4 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the number of lines left, the removed lines, and the length
     and md5 of the text that stays."""
     out = dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).alias("n_lines_left"), F.size("removed").alias("n_removed"), "removed", F.octet_length("text").alias("n_bytes_left"), F.md5("text").alias("text_md5"))
+    return out.select("doc_id", F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).alias("n_lines_left"), F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), F.octet_length("text").alias("n_bytes_left"), F.md5("text").alias("text_md5"))
