@@ -52,6 +52,13 @@ def most_apart(total: int, percent: int = PERCENT) -> int:
     return total - 2 * -(-percent * total // (100 + percent))
 
 
+def most_apart_within(total: int, percent: int = PERCENT) -> int:
+    """Largest symmetric difference of two linked sets whose sizes sum to total or
+    less. most_apart() has the parity of the sum and only rises along one parity,
+    so the two largest sums are enough."""
+    return max(most_apart(total, percent), most_apart(total - 1, percent))
+
+
 def bands(percent: int = PERCENT, largest: int = 1 << 31) -> list[tuple[int, int, int, bool]]:
     """(smallest size, largest size, blocks, whether the pigeonhole rule alone
     vouches for it) of each band. Sizes of any linked pair (ratio of percent / 100
@@ -67,7 +74,7 @@ def bands(percent: int = PERCENT, largest: int = 1 << 31) -> list[tuple[int, int
     while lo <= largest:
         step = max(lo + 1, math.ceil(lo * RATIO))
         hi = max(lo, (step - 1) * 100 // percent)
-        apart = most_apart(2 * hi, percent)
+        apart = most_apart_within(2 * hi, percent)
         p, sure = max(apart + 1 + SPARE, 128 if hi > 100 else 256 if hi > 24 else 1 << 32), True
         few = next((q for q in range(136, p, 8) if q * math.exp(-apart / q) >= 45), p) if hi > 300 else p
         if few < p:
@@ -96,7 +103,7 @@ def sketch(u: np.ndarray) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:
             full = word != 0
             mixed = kernels.mix(word[full] ^ kernels.mix(block[first][full] * _U(0x9FB21C651E98DF25) + _U(k + 1)))
             keys.append((mixed & ~_U(BAND_MASK)) | _U(k))
-            rooms.append((k, max(0, len(mixed) - most_apart(n + min(hi, n * 100 // PERCENT)) - 1) if sure else SPARE))
+            rooms.append((k, max(0, len(mixed) - most_apart_within(n + min(hi, n * 100 // PERCENT)) - 1) if sure else SPARE))
     return bits, np.concatenate(keys), rooms
 
 

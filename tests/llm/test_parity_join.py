@@ -68,3 +68,14 @@ def test_bands_hold_every_pair():
     for b in range(1, 4000):
         for a in {b, -(-b * 4 // 5)}:
             assert any(lo <= a <= b <= hi for lo, hi, _, _ in parity_join._BANDS)
+
+
+def test_appended_and_prepended_words(spark):
+    """Every linked pair of which one set holds the other, up to 40 shingles."""
+    pairs = [(long, short, front) for long in range(1, 41) for short in range(-(-long * 4 // 5), long + 1) for front in (False, True)]
+    rows = []
+    for k, (long, short, front) in enumerate(pairs):
+        words = [f"p{k}w{i}" for i in range(long + 4)]
+        rows += [(2 * k, " ".join(words), None), (2 * k + 1, " ".join(words[-short - 4 :] if front else words[: short + 4]), None)]
+    got = {r.doc_id: r.component_id for r in linked(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [pairs[k] for k in range(len(pairs)) if got[2 * k + 1] != 2 * k] == []
