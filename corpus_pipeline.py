@@ -14,9 +14,17 @@ from cartolith.llm.common import id_remainder, keep, table
 BROADCAST_IDS = 500_000
 
 
-def _semi(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    ids = ids.select(F.col("doc_id").alias("_semi_id"))
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("_semi_id")), how)
+def _semi(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    rows = rows.select(F.col("_row").alias("_semi_row"))
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, F.col("_row") == F.col("_semi_row"), how)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with a key of each row, _row, and whether that is doc_id itself. Where a
+    doc_id is null or repeated, rows are numbered, and stored so that numbers stay."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id")), True
+    return keep(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-keyed", "snappy"), False
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,19 +44,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of linked documents;
-    documents without words are all kept. Rows that repeat a doc_id are one."""
-    linked = keep(parity_join.linked(docs), "pipeline-linked")
-    others = linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    left = _semi(docs, others, "left_anti")
-    repeated = not linked.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    """The document with the smallest doc_id (null comes last) of each group of
+    linked documents; documents without words are all kept. Each row is judged by
+    its own text, whatever other rows share its doc_id."""
+    rows, plain = _keyed(docs)
+    linked = keep(parity_join.linked(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row"), "pipeline-linked")
+    if not plain:  # the group's smallest doc_id need not have its smallest number
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+        best = linked.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("best"))
+        linked = linked.join(best, "component_id").withColumn("component_id", F.col("best"))
+    others = keep(linked.where(F.col("_row") != F.col("component_id")).select("_row"), "pipeline-others")
+    return _semi(rows, others, "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    found = keep(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "pipeline-leaks")
-    return _semi(docs, found, "left_anti")
+    """Documents that hold no item of the benchmark. Each row is judged by itself."""
+    rows, _ = _keyed(docs)
+    found = decontaminate.leaks(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    found = keep(found.select(F.col("doc_id").alias("_row")).distinct(), "pipeline-leaks")
+    return _semi(rows, found, "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

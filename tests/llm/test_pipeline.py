@@ -40,3 +40,20 @@ def test_stages(spark, tmp_path):
     texts = {x.doc_id: x.text for x in spark.read.parquet(f"{d}/1").collect()}
     assert all(p in texts[400] for p in passage) and sum(p in texts[i] for p in passage for i in (401, 402, 403)) <= 2
     assert [x.doc_id for x in corpus_pipeline.run(spark, d).select("doc_id").distinct().orderBy("doc_id").collect()] == sorted(clean)
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    text = lambda n=40: " ".join(r.choices([f"w{i}" for i in range(3000)], k=n))
+    item, copied, again = text(30), text(), text()
+    alone = [(None, text()), (None, text()), (7, text()), (7, text()), (8, " \n"), (8, ""), (8, None), (None, "")]
+    near = [(5, copied), (None, copied), (3, copied), (None, again), (9, again), (None, item)]
+    d = str(tmp_path)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    rows = [(i, t, "en", "s", 0) for i, t in alone + near]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    kept = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=repr)
+    assert kept(corpus_pipeline.drop_near_duplicates(spark, docs, d)) == sorted([*alone, (3, copied), (9, again), (None, item)], key=repr)
+    assert kept(corpus_pipeline.drop_leaks(spark, docs, d)) == sorted([*alone, *near[:-1]], key=repr)
