@@ -67,6 +67,13 @@ def _split(text: str) -> list[bytes]:
     return [low[a:b] for a, b in zip(s.tolist(), e.tolist())]
 
 
+def windows(word: bytes) -> list[bytes]:
+    """A word of up to WINDOW_BYTES whole; of a longer one, windows that overlap by
+    half, the last of which ends with the word."""
+    last = max(0, len(word) - WINDOW_BYTES)
+    return [word[i : i + WINDOW_BYTES] for i in [*range(0, last, WINDOW_BYTES // 2), last]]
+
+
 def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The five-byte strings of some texts and in how many texts each is; a few
     texts at a time, so that no more than the distinct ones are held."""
@@ -111,9 +118,7 @@ class Model:
 
     def of(self, word: bytes) -> float:
         """The value of a word; of a long one, the best of its windows."""
-        if len(word) <= WINDOW_BYTES:
-            return float(self.value[self.lengths(word)])
-        return max(float(self.value[self.lengths(word[i : i + WINDOW_BYTES])]) for i in range(0, len(word), WINDOW_BYTES))
+        return max(float(self.value[self.lengths(x)]) for x in windows(word))
 
     def total(self, words: set[bytes]) -> float:
         return sum(sorted((max(0.0, self.of(w)) for w in words), reverse=True)[:BEST])
@@ -169,7 +174,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
     cells_t, cells_o = Counter(), Counter()
     for texts, cells in ((check_t, cells_t), (check_o, cells_o)):
         for t in texts:
-            cells.update({model.lengths(x[:WINDOW_BYTES]) for x in set(_split(t))})
+            cells.update({model.lengths(x) for word in set(_split(t)) for x in windows(word)})
     for cell in cells_t | cells_o:
         model.value[cell] = math.log((cells_t[cell] + 0.5) / (len(check_t) + 1)) - math.log((cells_o[cell] + 0.5) / (len(check_o) + 1))
     totals = np.array([model.total(set(_split(t))) for t in check_t + check_o])

@@ -42,3 +42,27 @@ def test_no_labels_and_no_rows(spark):
     assert model is None
     assert [r.score for r in toxicity.classify(docs, model).collect()] == [0.0]
     assert toxicity.classify(docs.limit(0), model).count() == 0
+
+
+def test_long_words_are_read_whole(monkeypatch):
+    """A string across a 48-byte border of a long word is scored and calibrated."""
+    import random
+
+    from cartolith.llm import toxicity
+
+    r = random.Random(1)
+    word = "".join(r.choices("klmnopqrst", k=42)) + "grumblefinkers" + "".join(r.choices("klmnopqrst", k=60))
+    seen = []
+    lengths = toxicity.Model.lengths
+    monkeypatch.setattr(toxicity.Model, "lengths", lambda self, x: seen.append(x) or lengths(self, x))
+    toxicity.Model(b"a", b"b").of(word.encode())
+    assert any(b"grumblefinkers" in x for x in seen)
+    del seen[:]
+    monkeypatch.setattr(toxicity.Model, "of", lambda self, x: 0.0)  # calibration alone
+    toxicity.train([f"{word} {i}" for i in range(9)], [f"usual words {i}" for i in range(9)])
+    assert {word[:48].encode(), word[-48:].encode()} <= set(seen) and any(b"grumblefinkers" in x for x in seen)
+    half = toxicity.WINDOW_BYTES // 2
+    for n in (1, 48, 49, 72, 96, 97, 500):
+        long = bytes(i % 251 for i in range(n))
+        assert all(any(long[i : i + half] in w for w in toxicity.windows(long)) for i in range(max(1, n - half + 1)))
+        assert all(0 < len(w) <= toxicity.WINDOW_BYTES for w in toxicity.windows(long))
