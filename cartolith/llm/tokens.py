@@ -6,7 +6,10 @@ marks. So a text is cut there,
 and equal pieces have equal ids: a run of texts is cut and hashed with vector
 operations (two 64-bit hashes), a worker remembers the ids of pieces it has met,
 and only new ones go to the library. Texts with characters whose class may differ
-between Unicode versions, or with rare white space, go to the library uncut.
+between Unicode versions, with rare white space, or with the string of an added
+token go to the library whole, by the plain call. So does every text where the file
+has another pre-tokenizer, a normalizer, truncation or padding: the cuts are those
+of the byte-level pattern alone.
 """
 
 from __future__ import annotations
@@ -39,16 +42,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings are ordinary text
+        split = self.library.pre_tokenizer
+        plain = type(split).__name__ == "ByteLevel" and split.use_regex and not split.add_prefix_space
+        self.cuts = plain and self.library.normalizer is None and not self.library.truncation and not self.library.padding
+        #: strings that the library takes out of a text before it splits it
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         # hash, second hash, place and number of ids of the pieces in self.flat; sorted by hash, in two layers
         none = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.layers = [none, none]
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
 
-    def _ask(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces one after the other, and where each ends."""
-        ids, ends, base = [], [np.zeros(1, np.int64)], 0
+    def _ask(self, pieces: list[str], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after the other, and where each ends. Whole texts
+        are encoded by the plain call, one by one; the others many at a time."""
+        if whole.any():
+            each: list = [None] * len(pieces)
+            for i in np.flatnonzero(whole).tolist():
+                each[i] = np.array(self.library.encode(pieces[i], add_special_tokens=False).ids, self.dtype)
+            rest = np.flatnonzero(~whole)
+            ids, ends = self._ask([pieces[i] for i in rest.tolist()], np.zeros(len(rest), bool))
+            for i, a, b in zip(rest.tolist(), ends.tolist(), ends[1:].tolist()):
+                each[i] = ids[a:b]
+            return np.concatenate(each), np.concatenate(([0], np.cumsum([len(x) for x in each])))
+        ids, ends, base = [np.zeros(0, self.dtype)], [np.zeros(1, np.int64)], 0
         for i in range(0, len(pieces), 4096):
             part = pieces[i : i + 4096]
             got = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -66,6 +83,17 @@ class Encoder:
             order = np.argsort(merged[0], kind="stable")
             self.layers = [[x[order] for x in merged], [x[:0] for x in merged]]
 
+    def _uncut(self, data: np.ndarray, raw: bytes) -> np.ndarray:
+        """Places whose rows must not be cut."""
+        places = [_unsettled(data)]
+        for text in self.added:
+            at, found = raw.find(text), []
+            while at >= 0:
+                found.append(at)
+                at = raw.find(text, at + 1)
+            places.append(np.array(found, np.int64))
+        return np.concatenate(places)
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a run of rows of UTF-8 bytes, and where each row's ids begin, with
         one more entry at the end."""
@@ -77,18 +105,19 @@ class Encoder:
         begins[:-1] = (data[:-1] == 32) & ~blank[1:]
         kind = _KINDS[data]
         a, b = kind[:-1], kind[1:]
-        alone = np.append(True, ~blank[:-2]) if n > 1 else blank[:0]  # no white space before the left byte
-        begins[1:] |= (a == _LETTER) & (b > _LETTER) | (b == _LETTER) & ((a == _MARK) | (a == _LINE) & alone) | (a == _MARK) & (b == _LINE)
+        bare = np.append(True, ~blank[:-2]) if n > 1 else blank[:0]  # no white space before the left byte
+        begins[1:] |= (a == _LETTER) & (b > _LETTER) | (b == _LETTER) & ((a == _MARK) | (a == _LINE) & bare) | (a == _MARK) & (b == _LINE)
         rows = off[:-1]
         full = rows < off[1:]
         last = off[1:][full] - 1
         begins[last] = False  # a space that ends its row has nothing after it
-        odd = _unsettled(data)
-        if len(odd):
-            for r in np.unique(np.searchsorted(off, odd, side="right") - 1).tolist():
-                begins[off[r] : off[r + 1]] = False
+        raw = data.tobytes()
+        odd = np.unique(np.searchsorted(off, self._uncut(data, raw), side="right") - 1) if self.cuts else np.flatnonzero(full)
+        for r in odd.tolist():
+            begins[off[r] : off[r + 1]] = False
         begins[rows[full]] = True
         start = np.flatnonzero(begins)
+        alone = np.isin(start, off[odd])
         end = np.append(start[1:], n)
         hashes = []
         wide = data.astype(np.uint64) + _U(1)
@@ -115,9 +144,8 @@ class Encoder:
         new = np.flatnonzero(fresh)
         flat = self.flat
         if len(new):
-            raw = data.tobytes()
             spans = zip(start[first[new]].tolist(), end[first[new]].tolist())
-            ids, ends = self._ask([raw[a:b].decode(errors="replace") for a, b in spans])
+            ids, ends = self._ask([raw[a:b].decode(errors="replace") for a, b in spans], alone[first[new]])
             count[new] = np.diff(ends)
             short = (end - start)[first[new]] <= LONGEST
             room = sum(len(x[0]) for x in self.layers) + len(new) <= REMEMBERED and self.used + len(ids) <= IDS_KEPT

@@ -13,7 +13,6 @@ def plain(texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 
@@ -39,10 +38,38 @@ def test_encoder_equals_the_library(monkeypatch):
     enc = tokens.Encoder(tokens.default_path())
     for _ in range(2):
         assert rows(enc) == want
+    assert enc.cuts
+    enc.cuts = False
+    assert rows(enc) == want
     monkeypatch.setattr(tokens, "REMEMBERED", 5)
     assert rows(tokens.Encoder(tokens.default_path())) == want
 
 
+def test_added_tokens_and_other_files():
+    """The plain call decides: an added token's string is its id, and a file with
+    another pre-tokenizer is never cut."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["hello <|endoftext|> x", "a<|endoftext|>b the end", "<|endoftext|>", "<|endoftext", "the end of it", "A Text, it's 12 o'clock <|endoftext|>", "", "naïve   x"] * 2
+    data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate(([0], np.cumsum([len(x.encode()) for x in texts])))
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        enc, library = tokens.Encoder(path), Tokenizer.from_file(path)
+        ids, cut = enc.encode(data, off)
+        assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert not enc.cuts and 50256 in Tokenizer.from_file(tokens.default_path()).encode(texts[0], add_special_tokens=False).ids
+
+
+def test_very_long_texts(spark):
+    long = "the onan, " * 300_000
+    rows = packing.pack(frame(spark, [long, "日" * 200_000, "x"])).collect()
+    want = plain([long, "日" * 200_000, "x"], packing.END_ID)
+    assert {r.doc_id: r.doc_tokens for r in rows} == {i * 3: len(x) for i, x in enumerate(want)}
+    assert sum(r.length for r in rows) == sum(map(len, want))
+
+
 def frame(spark, texts, ids=None):
     ids = ids or [i * 3 for i in range(len(texts))]
     return spark.createDataFrame([(d, t, "s", 1) for d, t in zip(ids, texts)], DOCS).repartition(3)
