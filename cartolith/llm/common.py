@@ -103,3 +103,14 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns alone, so that extra columns never clash."""
     return df.select(*[F.col(f"`{c}`") for c in cols])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
