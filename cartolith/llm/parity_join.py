@@ -43,6 +43,8 @@ RATIO = 1.6
 BROADCAST_IDS = 500_000
 #: Members of different components are compared with each other once that makes no more than so many pairs a row, or once a turn with new pivots leaves more than this share of the pairs; until then there are further pivots, for so many turns at most.
 PAIRS_PER_ROW, PIVOTS_HELP, MOST_PIVOTS = 4, 0.7, 10
+#: Members of a key that one task compares with all others of the key.
+PART_ROWS = 1_000
 _U = np.uint64
 
 
@@ -59,7 +61,7 @@ def most_apart_within(total: int, percent: int = PERCENT) -> int:
     return max(most_apart(total, percent), most_apart(total - 1, percent))
 
 
-def bands(percent: int = PERCENT, largest: int = 1 << 31) -> list[tuple[int, int, int, bool]]:
+def bands(percent: int = PERCENT, largest: int = 1 << 31, exact: bool = False) -> list[tuple[int, int, int, bool]]:
     """(smallest size, largest size, blocks, whether the pigeonhole rule alone
     vouches for it) of each band. Sizes of any linked pair (ratio of percent / 100
     at least) lie together in one band or more.
@@ -68,7 +70,8 @@ def bands(percent: int = PERCENT, largest: int = 1 << 31) -> list[tuple[int, int
     get so many that each token is nearly alone. For large sets fewer do, as
     differing tokens fall on the same blocks: the number of equal words is then
     about Poisson, and a mean of 45 leaves a pair a chance below 1e-10 of SPARE
-    equal words or fewer.
+    equal words or fewer. With exact, large sets too get one more than a pair can
+    differ in, and SPARE more.
     """
     out, lo = [], 1
     while lo <= largest:
@@ -76,7 +79,7 @@ def bands(percent: int = PERCENT, largest: int = 1 << 31) -> list[tuple[int, int
         hi = max(lo, (step - 1) * 100 // percent)
         apart = most_apart_within(2 * hi, percent)
         p, sure = max(apart + 1 + SPARE, 128 if hi > 100 else 256 if hi > 24 else 1 << 32), True
-        few = next((q for q in range(136, p, 8) if q * math.exp(-apart / q) >= 45), p) if hi > 300 else p
+        few = next((q for q in range(136, p, 8) if q * math.exp(-apart / q) >= 45), p) if hi > 300 and not exact else p
         if few < p:
             p, sure = few, False
         out.append((lo, hi, p, sure))
@@ -84,16 +87,16 @@ def bands(percent: int = PERCENT, largest: int = 1 << 31) -> list[tuple[int, int
     return out
 
 
-_BANDS = bands()
+_BANDS, _EXACT_BANDS = bands(), bands(exact=True)
 
 
-def sketch(u: np.ndarray) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:
+def sketch(u: np.ndarray, exact: bool = False) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:
     """Parity bits and join keys of a sorted set of hashes, and for each band how
     many of its keys may go: a linked set shares more keys than that in the band.
     The low bits of a key are its band."""
     bits = np.packbits((np.bincount((u & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
     keys, rooms, n = [], [], len(u)
-    for k, (lo, hi, p, sure) in enumerate(_BANDS):
+    for k, (lo, hi, p, sure) in enumerate(_EXACT_BANDS if exact else _BANDS):
         if lo > n:
             break
         if n <= hi:
@@ -107,26 +110,33 @@ def sketch(u: np.ndarray) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:
     return bits, np.concatenate(keys), rooms
 
 
-def _sets(batches, width: int, what: str):
-    """Per text, by what: 'sketch' id, size, fingerprint, parity bits and keys; 'set' id and set."""
+def _sketches(batches, width: int, exact: bool):
+    """doc_id, text hash, size, fingerprint, parity bits, rooms and keys of each text."""
     for batch in batches:
-        ids = batch.column(0)
         for first, data, off in kernels.slices(batch.column(1)):
             _, _, h, at = kernels.words(data, off, lower=True)
             sets = [kernels.shingle_set(h[at[i] : at[i + 1]], width) for i in range(len(off) - 1)]
-            out = {"doc_id": ids.slice(first, len(sets))}
-            if what == "set":
-                out["hashes"] = pa.array([u.tobytes() for u in sets], pa.binary())
-            else:
-                made = [sketch(u) if len(u) else (b"", np.zeros(0, np.uint64), []) for u in sets]
-                sizes = np.array([len(x) for _, x, _ in made])
-                out["n"] = pa.array([len(u) for u in sets], pa.int64())
-                out["fp"] = pa.array([len(u).to_bytes(8, "little") + np.add.reduce(kernels.mix(u)).tobytes() + np.bitwise_xor.reduce(kernels.mix(u ^ _U(0xA5A5A5A5))).tobytes() for u in sets], pa.binary())
-                out["bits"] = pa.array([np.frombuffer(b, "<i8") if b else None for b, _, _ in made], pa.list_(pa.int64()))
-                flat = np.concatenate([x for _, x, _ in made]) if made else np.zeros(0, np.uint64)
-                out["rooms"] = pa.array([[{"band": k, "room": r} for k, r in rooms] for _, _, rooms in made], pa.list_(pa.struct([("band", pa.int32()), ("room", pa.int32())])))
-                out["keys"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_pydict(out)
+            made = [sketch(u, exact) if len(u) else (b"", np.zeros(0, np.uint64), []) for u in sets]
+            sizes = np.array([len(x) for _, x, _ in made])
+            flat = np.concatenate([x for _, x, _ in made])
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0).slice(first, len(sets)),
+                "text_hash": batch.column(2).slice(first, len(sets)),
+                "n": pa.array([len(u) for u in sets], pa.int64()),
+                "fp": pa.array([len(u).to_bytes(8, "little") + np.add.reduce(kernels.mix(u)).tobytes() + np.bitwise_xor.reduce(kernels.mix(u ^ _U(0xA5A5A5A5))).tobytes() for u in sets], pa.binary()),
+                "bits": pa.array([np.frombuffer(b, "<i8") if b else None for b, _, _ in made], pa.list_(pa.int64())),
+                "rooms": pa.array([[{"band": k, "room": r} for k, r in rooms] for _, _, rooms in made], pa.list_(pa.struct([("band", pa.int32()), ("room", pa.int32())]))),
+                "keys": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat.view(np.int64))),
+            })
+
+
+def _sets(batches, width: int):
+    """row and set of each text."""
+    for batch in batches:
+        for first, data, off in kernels.slices(batch.column(1)):
+            _, _, h, at = kernels.words(data, off, lower=True)
+            sets = [kernels.shingle_set(h[at[i] : at[i + 1]], width).tobytes() for i in range(len(off) - 1)]
+            yield pa.RecordBatch.from_pydict({"row": batch.column(0).slice(first, len(sets)), "hashes": pa.array(sets, pa.binary())})
 
 
 def _verify(batches, percent: int):
@@ -139,79 +149,94 @@ def _verify(batches, percent: int):
         yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array(ok, pa.bool_())})
 
 
-def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach,
     its own included) of docs(doc_id, text).
 
     Null or empty texts, and texts without words, have n_shingles 0 and are alone.
-    A null doc_id joins the class of equal texts, and links with nothing else.
-    Repeated rows and ties are equal sets and so one class. An empty table gives
-    an empty table. Other columns are ignored.
+    Each row is judged by its own text, whatever rows share its doc_id or have none;
+    a component without any doc_id has a null component_id. Repeated rows and ties
+    are equal sets and so one class. An empty table gives an empty table. Other
+    columns are ignored. exact: also large sets get as many blocks as the pigeonhole
+    rule asks for (slower for long texts).
     """
     if percent != PERCENT:
         raise ValueError(f"the size bands are laid out for {PERCENT} percent")
     spark = docs.sparkSession
-    docs = only(docs, "doc_id", "text")
-    made = keep(map_arrow(docs, lambda it: _sets(it, width, "sketch"), "doc_id bigint, n bigint, fp binary, bits array<bigint>, rooms array<struct<band:int,room:int>>, keys array<bigint>"), "parity")
-    sizes = keep(made.select("doc_id", "n", "fp", "rooms"), "parity-sizes")
-    reps = keep(sizes.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("rooms").alias("rooms")), "parity-reps")
-    members = sizes.join(reps.select("fp", "rep"), "fp")
-
-    copies = keep(members.where("doc_id <> rep or n = 0").select("doc_id").distinct(), "parity-copies")
+    docs = only(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    # rows are numbered as they are written, so their numbers stay
+    made = map_arrow(docs, lambda it: _sketches(it, width, exact), "doc_id bigint, text_hash bigint, n bigint, fp binary, bits array<bigint>, rooms array<struct<band:int,room:int>>, keys array<bigint>")
+    made = keep(made.withColumn("row", F.monotonically_increasing_id()), "parity")
+    sizes = keep(made.select("row", "doc_id", "n", "fp", "rooms"), "parity-sizes")
+    # a class: its least row stands for it, its least doc_id names it
+    reps = keep(sizes.groupBy("fp").agg(F.min("row").alias("rep"), F.min("doc_id").alias("name"), F.first("n").alias("n"), F.first("rooms").alias("rooms")), "parity-reps")
+    members = sizes.select("doc_id", "n", "fp").join(reps.select("fp", "rep", "name"), "fp")
+
+    copies = keep(sizes.join(reps.select("fp", "rep"), "fp").where("row <> rep or n = 0").select("row"), "parity-copies")
     # A key holds a set once, and a set has many keys: no key has more than a small share of the rows.
-    keys = made.select("doc_id", "keys").join(_small(copies), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
+    keys = made.select("row", "keys").join(_small(copies), "row", "left_anti").select("row", F.explode("keys").alias("key"))
     keys = keys.repartition("key")
     often = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     band = F.expr(f"cast(key & {BAND_MASK} as int)")
-    rank = F.row_number().over(Window.partitionBy("doc_id", "band").orderBy(F.desc("c"), "key"))
-    sized = reps.select(F.col("rep").alias("doc_id"), "n", F.explode("rooms").alias("r")).select("doc_id", "n", "r.*")
-    met = keep(keys.join(often, "key").withColumn("band", band).withColumn("rank", rank).join(sized, ["doc_id", "band"]).where("rank > room").select("doc_id", "n", "key"), "parity-met")
+    rank = F.row_number().over(Window.partitionBy("row", "band").orderBy(F.desc("c"), "key"))
+    sized = reps.select(F.col("rep").alias("row"), "n", F.explode("rooms").alias("r")).select("row", "n", "r.*")
+    met = keep(keys.join(often, "key").withColumn("band", band).withColumn("rank", rank).join(sized, ["row", "band"]).where("rank > room").select("row", "n", "key"), "parity-met")
     often = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     groups = keep(met.join(often, "key"), "parity-groups")
 
-    ids = keep(groups.select("doc_id").distinct(), "parity-ids")
-    bits = keep(made.select("doc_id", "n", "bits").join(_small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "parity-bits")
-    forget(spark, met, made)
-    chosen = docs.join(_small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = keep(map_arrow(chosen, lambda it: _sets(it, width, "set"), "doc_id bigint, hashes binary"), "parity-sets")
+    ids = keep(groups.select("row").distinct(), "parity-ids")
+    bits = keep(made.select("row", "n", "bits").join(_small(ids), "row", "left_semi"), "parity-bits")
+    wanted = keep(made.select("row", "doc_id", "text_hash").join(_small(ids), "row", "left_semi"), "parity-wanted")
+    forget(spark, copies, met, made)
+    wanted = wanted.select("row", F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"))
+    chosen = docs.join(_small(wanted), (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("row", "text")
+    sets = keep(map_arrow(chosen, lambda it: _sets(it, width), "row bigint, hashes binary"), "parity-sets")
+    if sets.count() > ids.count():  # repeated rows
+        sets = keep(sets.dropDuplicates(["row"]), "parity-sets")
 
     links, label, before = None, None, None
     for turn in range(MOST_PIVOTS + 1):
-        now, full = groups.withColumn("comp", F.col("doc_id")), False
+        now, full = groups.withColumn("comp", F.col("row")), False
         if label is not None:
-            now = groups.where("c > 2").join(label, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
+            now = groups.where("c > 2").join(label, F.col("row") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "row")).drop("node", "component", "c")
             held = now.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("comps"))
             still = keep(held.where("comps > 1"), "parity-still")
             left = still.agg(F.sum(F.expr("(c * c - q) div 2")).alias("pairs"), F.sum("c").alias("rows")).first()
             if not left["rows"]:
                 break
-            now = keep(now.join(still.select("key"), "key", "left_semi"), "parity-open")
+            now = keep(now.join(still.select("key", "c"), "key"), "parity-open")
             helped = before is None or left["pairs"] < PIVOTS_HELP * before
             full = left["pairs"] <= PAIRS_PER_ROW * left["rows"] or not helped or turn == MOST_PIVOTS
             before = left["pairs"]
         near = (F.col("ac") != F.col("bc")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
         if not full:  # a pivot or two for each key, others in each turn
-            orders = [F.col("doc_id")] if turn == 0 else [F.xxhash64(F.lit(2 * turn + i), "doc_id") for i in (0, 1)]
-            pivots = F.array(*[F.min_by(F.struct("doc_id", "n", "comp"), by) for by in orders])
+            orders = [F.col("row")] if turn == 0 else [F.xxhash64(F.lit(2 * turn + i), "row") for i in (0, 1)]
+            pivots = F.array(*[F.min_by(F.struct("row", "n", "comp"), by) for by in orders])
             pivot = now.groupBy("key").agg(pivots.alias("p")).select("key", F.explode(F.array_distinct("p")).alias("p"))
-            left = now.select("key", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-            right = pivot.select("key", F.col("p.doc_id").alias("b"), F.col("p.n").alias("bn"), F.col("p.comp").alias("bc"))
+            left = now.select("key", F.col("row").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
+            right = pivot.select("key", F.col("p.row").alias("b"), F.col("p.n").alias("bn"), F.col("p.comp").alias("bc"))
             pairs = left.join(right, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = pairs.join(bits.toDF("a", "an", "a_bits"), "a").join(bits.toDF("b", "bn", "b_bits"), "b").where(_close(percent))
-        else:  # all pairs of different components that are left
-            whole = now.join(bits.select("doc_id", "bits"), "doc_id")
-            left = whole.select("key", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("bits").alias("a_bits"))
-            right = left.toDF("key", "b", "bn", "bc", "b_bits")
-            pairs = left.join(right, "key").where(near & (F.col("a") < F.col("b")) & _close(percent))
+        else:  # what is left of different components; a large key's members are dealt out
+            whole = now.join(bits.select("row", "bits"), "row").withColumn("parts", F.ceil(F.col("c") / PART_ROWS).cast("int"))
+            left = whole.select("key", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), F.col("row").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("bits").alias("a_bits"))
+            right = whole.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("row").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("bits").alias("b_bits"))
+            pairs = left.join(right, ["key", "part"]).where(near & (F.col("a") < F.col("b")) & _close(percent))
         pairs = keep(pairs.select("a", "b").distinct(), "parity-pairs")
         with_sets = pairs.join(sets.toDF("a", "x_set"), "a").join(sets.toDF("b", "y_set"), "b")
         good = keep(map_arrow(with_sets, lambda it: _verify(it, percent), "a bigint, b bigint, ok boolean").where("ok").select("a", "b"), "parity-links")
+        forget(spark, pairs, *([now, still] if label is not None else []))
         links = good if links is None else links.unionByName(good)
         label = components(links)
         if full:
             break
-    out = members.join(label, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    forget(spark, groups, ids, bits, sets, links)
+    # the least name of a component's classes
+    tied = keep(reps.select("rep", "name").join(label, F.col("rep") == F.col("node")).select("component", "rep", "name"), "parity-tied")
+    named = tied.join(tied.groupBy("component").agg(F.min("name").alias("least")), "component").select(F.col("rep").alias("of_rep"), "least", F.lit(True).alias("is_tied"))
+    out = members.join(named, F.col("rep") == F.col("of_rep"), "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("is_tied"), F.col("least")).otherwise(F.col("name"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def _small(ids: DataFrame) -> DataFrame:

@@ -8,25 +8,32 @@ DOCS = "doc_id bigint, text string, lang string"
 
 
 def brute(rows):
-    sets = {}
-    for d, t, *_ in rows:
+    """(doc_id, size, component) of each row, judged by its own text."""
+    sets = []
+    for _, t, *_ in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
-        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
-    up = {d: d for d in sets}
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    up = list(range(len(rows)))
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            same = len(sets[a] & sets[b])
-            if same and 100 * same >= 80 * (len(sets[a]) + len(sets[b]) - same):
-                x, y = sorted((root(a), root(b)))
-                up[y] = x
-    return {d: (len(sets[d]), root(d)) for d in ids}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            same = len(a & sets[j])
+            if same and 100 * same >= 80 * (len(a) + len(sets[j]) - same):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (d, *_) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(least.get(root(i), d), d)
+    return sorted(((d, len(sets[i]), least.get(root(i))) for i, (d, *_) in enumerate(rows)), key=repr)
+
+
+def result(df, **how):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in linked(df, **how).collect()), key=repr)
 
 
 def corpus(seed, n=260):
@@ -53,8 +60,39 @@ def corpus(seed, n=260):
 def test_against_brute_force(spark):
     for seed in (1, 2):
         rows = corpus(seed)
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in linked(spark.createDataFrame(rows, DOCS)).collect()}
-        assert got == brute(rows)
+        assert result(spark.createDataFrame(rows, DOCS)) == brute(rows)
+
+
+def test_null_and_repeated_ids(spark):
+    """A row links by its own text, whatever rows share its id or have none."""
+    r = random.Random(5)
+    rows = [(r.choice([None, None, 1, 2, 3, d]), t, x) for d, t, x in corpus(3, 150)]
+    rows += r.sample(rows, 20)
+    assert result(spark.createDataFrame(rows, DOCS).repartition(3)) == brute(rows)
+
+
+def test_exact_blocks_and_recall_on_long_texts(spark, monkeypatch):
+    """Long texts that just link: both modes find all links; large keys are dealt out."""
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows = []
+    for k in range(60):
+        words = r.choices(vocab, k=r.choice([400, 900, 2500]))
+        rows.append((2 * k, " ".join(words), "x"))
+        # every edit costs five shingles of either set: the most that 80 percent bears
+        edits = (len(words) - 4) // 45 - k % 3
+        for i in range(edits):
+            words[5 + i * (len(words) - 10) // edits] = f"edit{k}-{i}"
+        rows.append((2 * k + 1, " ".join(words), "x"))
+    want = brute(rows)
+    assert sum(d != c for d, _, c in want) > 40
+    docs = spark.createDataFrame(rows, DOCS)
+    assert result(docs) == result(docs, exact=True) == want
+    assert all(sure for _, _, _, sure in parity_join._EXACT_BANDS)
+    monkeypatch.setattr(parity_join, "PART_ROWS", 2)
+    monkeypatch.setattr(parity_join, "MOST_PIVOTS", 1)
+    rows = corpus(4, 150)
+    assert result(spark.createDataFrame(rows, DOCS)) == brute(rows)
 
 
 def test_edges(spark):
