@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import fresh, keep, table
 
 RISK, LEVEL = 0.05, 0.05
 WIDTH = 5
@@ -51,24 +51,26 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WIDTH, F.lit(0)).otherwise(let(let(F.transform(words, lambda x: F.xxhash64(x)), windows), count)).cast("long")
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_capitals", "base_failed")
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)
-    and base_failed. Whole texts count; a null text has no words (and so fails).
-    Columns of these names are replaced, others stay."""
-    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_text", "_words", "_lines")
-    text = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    split = text.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
-    lines = split.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.regexp_like(x, F.lit(WORD))))
-    out = lines.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
-        "n_symbols": F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": _repeat_words(F.col("_words")),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_bangs": F.regexp_count("_text", F.lit("!")).cast("long"),
-        "n_capitals": F.regexp_count("_text", F.lit("[A-Z]")).cast("long"),
-    }).drop("_text", "_words", "_lines")
+    """docs with MEASURES (long, base_failed boolean). Whole texts count; a null text
+    has no words (and so fails). Columns of these names are replaced, others stay."""
+    docs = docs.drop(*MEASURES)
+    text, words, lines = fresh(docs, "text_", "words_", "lines_")
+    split = docs.withColumn(text, F.coalesce("text", F.lit(""))).withColumn(words, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    split = split.withColumn(lines, F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(WORD))))
+    out = split.withColumns({
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
+        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": _repeat_words(F.col(words)),
+        "n_lines": F.size(lines).cast("long"),
+        "n_bangs": F.regexp_count(text, F.lit("!")).cast("long"),
+        "n_capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
+    }).drop(text, words, lines)
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -94,32 +96,40 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "stratum") -> DataFrame:
     """The chosen cutoff of each stratum and rule: stratum, rule, cutoff.
 
-    measured has doc_id, the stratum and the measures; labels(doc_id, quality).
+    measured has doc_id, the stratum and the measures; labels(doc_id, quality). A
+    document counts once in its stratum, by its largest measures, however many rows
+    share its doc_id; of several labels the worst holds; null ids and labels are none.
     Only a count for each stratum, rule and cutoff leaves the aggregation.
     """
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     losses = [F.count_if(F.col(r) > c).alias(f"{r}_{c}") for r in RULES for c in CUTOFFS]
-    counts = measured.join(good, "doc_id", "left_semi").groupBy(stratum).agg(F.count("*").alias("n"), *losses)
+    once = measured.join(good, "doc_id", "left_semi").groupBy(stratum, "doc_id").agg(*[F.max(r).alias(r) for r in RULES])
+    counts = once.groupBy(stratum).agg(F.count("*").alias("n"), *losses)
     rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r in RULES for c in CUTOFFS])
     counts = keep(counts, "quality-counts")
     tests = max(counts.count(), 1) * len(RULES) * len(CUTOFFS)
     each = counts.select(stratum, "n", F.explode(rows).alias("t"))
-    valid = each.where(binomial_tail(F.col("t.k"), F.col("n"), RISK / len(RULES)) <= LEVEL / tests)
+    # at the mean and above it the tail is a quarter or more: no sum is needed
+    low = (F.col("t.k") < F.col("n") * (RISK / len(RULES))) | (F.col("t.k") == 0)
+    valid = each.where(F.when(low, binomial_tail(F.col("t.k"), F.col("n"), RISK / len(RULES)) <= LEVEL / tests).otherwise(False))
     return valid.groupBy(stratum, F.col("t.rule").alias("rule")).agg(F.min("t.cutoff").alias("cutoff"))
 
 
 def decide(docs: DataFrame, labels: DataFrame, with_text: bool = True) -> DataFrame:
     """measure(docs) with stratum, the measures, the rules that reject (an array)
     and kept: false where the base rules fail or a rule rejects. A null lang is
-    the stratum und. An empty table gives an empty table. Without with_text the
-    texts are left out, and the measures are written once and read twice."""
+    the stratum und; each row is judged by its own text, also where its doc_id is null
+    or repeated. An empty table gives an empty table. Columns of the added names are
+    replaced, others stay. Without with_text the texts are left out, and the measures
+    are written once and read twice."""
     found = measure(docs).withColumn("stratum", F.coalesce(F.col("lang").cast("string"), F.lit("und"))).withColumns(measures())
     found = found if with_text else keep(found.drop("text"), "quality-measures")
-    chosen = cutoffs(found, labels).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))
+    cut, of = fresh(found, "cut", "of")
+    chosen = cutoffs(found, labels).groupBy(F.col("stratum").alias(of)).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias(cut))
     # one row a stratum: its number is that of the languages, counted before it is broadcast
     chosen = F.broadcast(chosen) if chosen.count() <= 10_000 else chosen
-    rejects = F.array_compact(F.array(*[F.when(F.col(r) > F.try_element_at("cut", F.lit(r)), F.lit(r)) for r in RULES]))
-    out = found.join(chosen, "stratum", "left").withColumn("rejected_by", rejects).drop("cut")
+    rejects = F.array_compact(F.array(*[F.when(F.col(r) > F.try_element_at(F.col(cut), F.lit(r)), F.lit(r)) for r in RULES]))
+    out = found.join(chosen, F.col("stratum") == F.col(of), "left").withColumn("rejected_by", rejects).drop(cut, of)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
 
@@ -150,7 +160,8 @@ WITH {MEASURED_SQL},
 v AS ({long}),
 q AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
 grid(rule, cutoff) AS (VALUES {grid}),
-k AS (SELECT stratum, grid.rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM v SEMI JOIN q USING (doc_id) JOIN grid ON v.rule = grid.rule GROUP BY ALL),
+o AS (SELECT stratum, rule, doc_id, max(v) AS v FROM v SEMI JOIN q USING (doc_id) GROUP BY ALL),
+k AS (SELECT stratum, grid.rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM o v JOIN grid ON v.rule = grid.rule GROUP BY ALL),
 p AS (SELECT stratum, rule, cutoff, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))) FROM range(k + 1) AS y(i)) AS tail FROM k),
 cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM p WHERE tail <= {LEVEL} / ((SELECT count(DISTINCT stratum) FROM k) * {len(RULES) * len(CUTOFFS)}) GROUP BY ALL),
 bad AS (SELECT DISTINCT doc_id FROM v JOIN cut USING (stratum, rule) WHERE v > cutoff)

@@ -65,3 +65,21 @@ def test_risk_is_held_in_each_stratum(spark):
     few = q.decide(docs, lab.limit(50)).where("not base_failed")
     assert few.where("not kept").count() == 0
     assert q.decide(docs.limit(0), lab).count() == 0 and q.decide(docs.limit(20), lab.limit(0)).count() == 20
+
+
+def test_clashing_columns_repeats_and_null_ids(spark):
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice(["one", "two"]) + str(r.randrange(500)) for _ in range(30)) + " ##" * (i % 7 == 0) * 20, "en") for i in range(3000)]
+    lab = spark.createDataFrame([(i, int(i % 7 > 0)) for i, *_ in rows], "doc_id bigint, quality int")
+    odd = [(None, rows[0][1], "en"), (None, "x", None), (7, rows[1][1], "en")]
+    extra = ["cut", "of", "_cut", "text_", "words_", "lines_", "rule", "cutoff", "key", "n", "t", "quality"]
+    plain = spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string")
+    docs = plain.select("*", *[F.lit("mine").alias(c) for c in extra])
+    got = q.decide(docs, lab).collect()
+    assert len(got) == len(rows) + len(odd) and all(x[c] == "mine" for x in got for c in extra)
+    # rows that repeat a document prove nothing more
+    twice = plain.unionByName(plain).unionByName(plain)
+    chosen = lambda d: sorted(tuple(x) for x in q.cutoffs(q.measure(d).withColumn("stratum", F.coalesce("lang", F.lit("und"))).withColumns(q.measures()), lab).collect())
+    assert chosen(plain) == chosen(twice)
+    kept = {(x.doc_id, x.text): x.kept for x in got}
+    assert not kept[None, rows[0][1]] and not kept[None, "x"] and kept[7, rows[1][1]] and not kept[7, rows[7][1]]
