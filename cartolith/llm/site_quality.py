@@ -1,14 +1,18 @@
 """Quality by hierarchical empirical Bayes: document, path, host, all.
 
 Document evidence is a log-likelihood ratio: binned measures of the text, each
-bin with the smoothed shares of labelled good and bad documents in it. With the
-labelled base rate it gives each document a probability. Sites are then grouped:
-a host's mean is shrunk toward the global mean, a path's toward its host's, each
-by a prior whose strength is estimated from how much the groups below differ
-(method of moments), so a site with few documents says little. The document's
-own probability is left out of its sites' sums, and its evidence is added to the
-log-odds of its path. All sums are grouped aggregations, combined before any
-shuffle, so a host with a third of the rows is a few numbers a task.
+bin with the smoothed shares of labelled good and bad documents in it. Documents lie
+in FOLDS folds by their id, and the shares and the base rate that a fold is judged by
+are those of the labelled documents of the other folds, so no document is judged by
+its own label. With the base rate the evidence gives each document a probability.
+
+Sites come from an address: its host and the first segment of its path. A host's mean
+is shrunk toward the global mean, a path's toward its host's, each by a prior whose
+strength is estimated from how much the groups below differ (method of moments), so a
+site with few documents says little. The document's own probability is left out of its
+sites' sums, and its evidence is added to the log-odds of its path. All sums are
+grouped aggregations, combined before any shuffle, so a host with a third of the rows
+is a few numbers a task.
 """
 
 from __future__ import annotations
@@ -17,7 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules
-from .common import keep, table
+from .common import forget, keep, table
+
+FOLDS = 5
 
 #: Upper edges of the bins of each measure (thousandths, words or mean characters).
 EDGES = {
@@ -30,6 +36,8 @@ EDGES = {
     "word_length": (2000, 3500, 5000, 7000, 10000),
 }
 SMOOTHING = 1.0
+#: What lies before the host, around it, and the first segment of the path.
+SCHEME, AUTHORITY, PORT, SEGMENT = "^([A-Za-z][A-Za-z0-9+.-]*:)?//", "^([^/?#]*@)?([^/?#]*)", ":[0-9]*$", "^[^/?#]*/([^/?#]*)"
 #: Bounds of a prior's strength, in documents.
 WEAKEST, STRONGEST = 1.0, 1e6
 
@@ -45,22 +53,36 @@ def _bins(measured: DataFrame) -> dict[str, Column]:
     return out
 
 
-def evidence_table(binned: DataFrame, labels: DataFrame) -> tuple[dict[str, list[float]], float]:
-    """Log-likelihood ratio of each bin, and the log-odds of the base rate. One row
-    of counts leaves the aggregation."""
+def site(address: Column) -> tuple[Column, Column]:
+    """Host (lower case, without user, port and www.) and first segment of the path
+    of an address, with or without a scheme. Null is the empty address."""
+    rest = F.regexp_replace(F.coalesce(address.cast("string"), F.lit("")), SCHEME, "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(rest, AUTHORITY, 2)), PORT, "")
+    return F.regexp_replace(host, "^www\\.", ""), F.regexp_extract(rest, SEGMENT, 1)
+
+
+def fold(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(doc_id, F.lit(FOLDS)), F.lit(0)).cast("int")
+
+
+def evidence_table(binned: DataFrame, labels: DataFrame) -> tuple[dict[str, list[float]], list[float]]:
+    """Log-likelihood ratio of each bin, fold after fold, and the log-odds of the base
+    rate of each fold. A row of counts for each fold leaves the aggregation."""
+    import math
+
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     joined = binned.join(known, "doc_id")
     sums = [F.count_if((F.col(f"b_{n}") == k) & (F.col("quality") == q)).alias(f"{n}_{k}_{q}") for n, e in EDGES.items() for k in range(len(e) + 1) for q in (0, 1)]
-    row = joined.agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good"), *sums).first()
-    import math
-
-    good, bad = row["good"] or 0, row["bad"] or 0
-    ratio = {}
-    for n, e in EDGES.items():
-        size = len(e) + 1
-        share = lambda k, q, of: ((row[f"{n}_{k}_{q}"] or 0) + SMOOTHING) / (of + SMOOTHING * size)
-        ratio[n] = [math.log(share(k, 1, good) / share(k, 0, bad)) for k in range(size)]
-    return ratio, math.log((good + 1) / (bad + 1))
+    rows = joined.groupBy("fold").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good"), *sums).collect()
+    other = lambda f, name: sum(r[name] for r in rows if r["fold"] != f)
+    ratio: dict[str, list[float]] = {n: [] for n in EDGES}
+    for f in range(FOLDS):
+        good, bad = other(f, "good"), other(f, "bad")
+        for n, e in EDGES.items():
+            size = len(e) + 1
+            share = lambda k, q, of: (other(f, f"{n}_{k}_{q}") + SMOOTHING) / (of + SMOOTHING * size)
+            ratio[n] += [math.log(share(k, 1, good) / share(k, 0, bad)) for k in range(size)]
+    return ratio, [math.log((other(f, "good") + 1) / (other(f, "bad") + 1)) for f in range(FOLDS)]
 
 
 def _logit(p: Column) -> Column:
@@ -79,22 +101,26 @@ def _strength(groups: DataFrame, mean: Column) -> Column:
     return F.coalesce(F.least(F.greatest(level / between - 1, F.lit(WEAKEST)), F.lit(STRONGEST)), F.lit(STRONGEST))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+def posteriors(docs: DataFrame, labels: DataFrame, address: str) -> DataFrame:
     """doc_id, evidence, doc_probability, host_posterior, path_posterior, score and
-    kept (score of 0.5 or more) of docs(doc_id, text, host, path).
-
-    Null hosts or paths are groups of their own; a null or empty text has the
-    evidence of a text without words; a host or path with this document alone has
-    the mean above it. Without labels every evidence is 0. Repeated rows count each.
-    An empty table gives an empty table.
+    kept (score of 0.5 or more) of docs(doc_id, text); address is an SQL expression
+    that gives each row's address (see site()).
+
+    Null and empty hosts are one group, so are null and empty paths of a host. A null
+    or empty text has the evidence of a text without words; a host or path with this
+    document alone has the mean above it. Without labels every evidence is 0. Each row
+    is judged by itself; repeated rows count each in their sites. An empty table gives
+    an empty table. Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("path"))
+    host, path = site(F.expr(address))
+    docs = docs.select("doc_id", "text", host.alias("host"), path.alias("path"))
     measured = quality_rules.measure(docs)
-    bins = measured.select("doc_id", "host", "path", *[c.alias(f"b_{n}") for n, c in _bins(measured).items()])
+    bins = measured.select("doc_id", "host", "path", fold(F.col("doc_id")).alias("fold"), *[c.alias(f"b_{n}") for n, c in _bins(measured).items()])
     bins = keep(bins, "site-bins")
     ratio, base = evidence_table(bins, labels)
-    evidence = sum((F.element_at(F.array(*map(F.lit, ratio[n])), F.col(f"b_{n}") + 1) for n in EDGES), F.lit(0.0))
-    each = bins.select("doc_id", "host", "path", evidence.alias("evidence")).withColumn("p", 1 / (1 + F.exp(-(F.col("evidence") + base))))
+    evidence = sum((F.element_at(F.array(*map(F.lit, ratio[n])), F.col("fold") * (len(e) + 1) + F.col(f"b_{n}") + 1) for n, e in EDGES.items()), F.lit(0.0))
+    odds = F.element_at(F.array(*map(F.lit, base)), F.col("fold") + 1)
+    each = bins.select("doc_id", "host", "path", evidence.alias("evidence"), odds.alias("odds")).withColumn("p", 1 / (1 + F.exp(-(F.col("evidence") + F.col("odds"))))).drop("odds")
     sums = [F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")]
     paths = keep(each.groupBy("host", "path").agg(*sums), "site-paths")
     hosts = keep(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")), "site-hosts")
@@ -106,6 +132,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     tied = paths.join(shrunk, "host")
     k_path = tied.agg(_strength(tied, F.col("hm")).alias("k")).first()["k"]
     sites = keep(tied.select("host", "path", F.col("n").alias("pn"), F.col("s").alias("ps"), "hn", "hs"), "site-posteriors")
+    forget(docs.sparkSession, paths, hosts)
     # the document itself is left out of every sum
     own = F.col("p")
     all_but = (F.lit(s_all) - own) / F.greatest(F.lit(n_all) - 1, F.lit(1.0))
@@ -118,7 +145,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
 
 
 def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Documents carry no address: their source is the host, their language the first
+    segment of the path."""
+    address = "concat(coalesce(source, ''), '/', coalesce(lang, ''))"
+    out = posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), address)
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("evidence", "doc_probability", "host_posterior", "path_posterior", "score")], "kept")
 
 
@@ -134,12 +164,13 @@ def _sql() -> str:
     return f"""
 WITH {quality_rules.MEASURED_SQL},
 bins AS ({bins}),
-y AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-c AS (SELECT f, b, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM bins JOIN y USING (doc_id) GROUP BY ALL),
-tot AS (SELECT count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM y SEMI JOIN m USING (doc_id)),
-ratio AS (SELECT g.f, g.b, ln((coalesce(c.good, 0) + 1) / (tot.good + g.size)::DOUBLE / ((coalesce(c.bad, 0) + 1) / (tot.bad + g.size)::DOUBLE)) AS r FROM (VALUES {grid}) g(f, b, size) CROSS JOIN tot LEFT JOIN c ON c.f = g.f AND c.b = g.b),
-ev AS (SELECT doc_id, sum(r) AS evidence FROM bins JOIN ratio USING (f, b) GROUP BY doc_id),
-e AS (SELECT o.doc_id, coalesce(o.source, '') AS host, coalesce(o.lang, '') AS path, evidence, 1 / (1 + exp(-(evidence + ln((tot.good + 1) / (tot.bad + 1)::DOUBLE)))) AS p FROM documents o JOIN ev USING (doc_id), tot),
+fo AS (SELECT unnest(range({FOLDS})) AS fold),
+y AS (SELECT doc_id, min(quality) AS quality, doc_id % {FOLDS} AS own FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+c AS (SELECT fold, f, b, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM bins JOIN y USING (doc_id), fo WHERE own <> fold GROUP BY ALL),
+tot AS (SELECT fold, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM fo LEFT JOIN (SELECT * FROM y SEMI JOIN m USING (doc_id)) ON own <> fold GROUP BY fold),
+ratio AS (SELECT tot.fold, g.f, g.b, ln((coalesce(c.good, 0) + 1) / (tot.good + g.size)::DOUBLE / ((coalesce(c.bad, 0) + 1) / (tot.bad + g.size)::DOUBLE)) AS r FROM (VALUES {grid}) g(f, b, size) CROSS JOIN tot LEFT JOIN c ON c.f = g.f AND c.b = g.b AND c.fold = tot.fold),
+ev AS (SELECT doc_id, sum(r) AS evidence FROM bins JOIN ratio ON ratio.f = bins.f AND ratio.b = bins.b AND ratio.fold = doc_id % {FOLDS} GROUP BY doc_id),
+e AS (SELECT o.doc_id, lower(coalesce(o.source, '')) AS host, coalesce(o.lang, '') AS path, evidence, 1 / (1 + exp(-(evidence + ln((tot.good + 1) / (tot.bad + 1)::DOUBLE)))) AS p FROM documents o JOIN ev USING (doc_id) JOIN tot ON tot.fold = o.doc_id % {FOLDS}),
 pa AS (SELECT host, path, count(*) AS n, sum(p) AS s, sum(p * p) AS q FROM e GROUP BY ALL),
 ho AS (SELECT host, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM pa GROUP BY ALL),
 al AS (SELECT sum(n)::DOUBLE AS n, sum(s) AS s, sum(s) / sum(n) AS mean FROM ho),
