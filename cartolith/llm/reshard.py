@@ -1,26 +1,32 @@
 """Resharding by minimum-cost flow over blocks.
 
-Documents lie in old shards; blocks are hash buckets of an old shard's documents
-and the unit of transfer. Old shard sizes are supplies, new capacities demands;
-a byte that stays in its shard costs nothing, any other costs one. Successive
-shortest paths solve that flow on the driver (old and new shards are few). Blocks
-then realise the flow: in each old shard, whole blocks are dealt to its outflows,
-and shard sizes differ from the solution by less than a block. Only documents
-whose block moves are written again; the rest is read where it lies.
+Documents lie in the files of old shards (folders shard=0, shard=1 and so on); a file is
+a block, the unit of transfer. Old shard sizes are supplies, new capacities demands; a
+byte that stays in its shard costs nothing, any other costs one. Successive shortest
+paths solve that flow on the driver (shards are few). The files of an old shard are then
+laid on a line that is cut where its outflows end, what stays first: a file within a
+piece goes as a whole, a file under a cut is split between two documents. So what moves
+differs from the least by no more than a document for each cut.
+
+Then the affected files are rewritten: each file that moves, or is split. Files that
+stay are left as they are, and the new layout names them where they lie.
 """
 
 from __future__ import annotations
 
 import heapq
+from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import keep, only, table
+from .common import only, scratch, table
 
 NEW_SHARDS, OLD_SHARDS = 8, 5
-#: Blocks of one old shard: the driver handles one row for each.
-BLOCKS = 4096
+#: Rows of a table of files that is broadcast (some 300 bytes each, counted); beyond, a shuffle joins it.
+BROADCAST_FILES = 100_000
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -77,78 +83,128 @@ def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -
     return [[edges[first + 2 * (i * m + j) + 1][1] for j in range(m)] for i in range(n)]
 
 
-def plan(blocks: list[tuple[int, int, int]], old: int, capacities: list[int]) -> tuple[dict[tuple[int, int], int], list[list[int]]]:
-    """(old shard, block) -> new shard, and the flow. blocks: (old shard, block,
-    bytes). Large blocks are dealt first, each to the outflow of its shard that
-    has most left, so that what is over at the end is small."""
-    supply = [0] * old
-    for s, _, size in blocks:
-        supply[s] += size
+class File(NamedTuple):
+    path: str
+    shard: int
+    size: int
+    rows: int
+
+
+class Layout(NamedTuple):
+    """A sharded table: files that lie as before, and a folder of rewritten ones."""
+
+    kept: list[File]
+    old: str
+    new: str
+    schema: T.StructType
+
+
+def plan(files: list[tuple[str, int, int]], capacities: list[int]) -> tuple[dict[str, list[tuple[int, int]]], list[list[int]]]:
+    """The cuts of each file of (path, old shard, bytes), and the flow. A cut is (end,
+    new shard): the documents that begin before byte end of the file, and not before
+    the cut in front, go there."""
+    old = max((s for _, s, _ in files), default=-1) + 1
+    supply = [sum(n for _, s, n in files if s == i) for i in range(old)]
     flow = min_cost_flow(supply, capacities, [[int(i != j) for j in range(len(capacities))] for i in range(old)])
-    open_ = [list(f) for f in flow]
-    to = {}
-    for s, b, size in sorted(blocks, key=lambda x: (-x[2], x[0], x[1])):
-        j = max(range(len(capacities)), key=lambda j: (open_[s][j], j == s, -j))
-        open_[s][j] -= size
-        to[s, b] = j
-    return to, flow
+    cuts: dict[str, list[tuple[int, int]]] = {}
+    for i in range(old):
+        pieces = [[j, flow[i][j]] for j in sorted(range(len(capacities)), key=lambda j: (j != i, j)) if flow[i][j]]
+        for path, _, size in sorted(f for f in files if f[1] == i):
+            at, mine = 0, []
+            while at < size:
+                j, left = pieces[0]
+                take = min(left, size - at)
+                at += take
+                mine.append((at, j))
+                pieces[0][1] -= take
+                if not pieces[0][1]:
+                    pieces.pop(0)
+            cuts[path] = mine
+    return cuts, flow
 
 
 def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def _deal(docs: DataFrame, old_shard: Column, old: int, new: int, blocks: int) -> DataFrame:
-    """docs with old_shard, shard, moved, and its block with the block's first slot."""
-    spark = docs.sparkSession
-    at = docs.withColumn("old_shard", old_shard.cast("int")).withColumn("_block", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(blocks)).cast("int"))
-    sizes = at.groupBy("old_shard", "_block").agg(F.sum(size_of(F.col("text"))).alias("size"), F.count("*").alias("n")).collect()
-    total = sum(r["size"] for r in sizes)
-    capacities = [total // new + (j < total % new) for j in range(new)]
-    to, _ = plan([(r["old_shard"], r["_block"], r["size"]) for r in sizes], old, capacities)
-    rows, placed = [0] * new, []
-    for r in sorted(sizes, key=lambda r: (r["old_shard"], r["_block"])):
-        j = to[r["old_shard"], r["_block"]]
-        placed.append((r["old_shard"], r["_block"], j, rows[j]))
-        rows[j] += r["n"]
-    places = spark.createDataFrame(placed, "old_shard int, _block int, shard int, _base bigint")
-    # old * blocks rows at most
-    dealt = at.join(F.broadcast(places), ["old_shard", "_block"]).withColumn("moved", F.col("shard") != F.col("old_shard"))
-    moved = keep(dealt.where("moved"), "reshard-moved", "snappy")
-    return dealt.where("not moved").unionByName(moved)
-
-
-def _slot(*ties: str) -> Column:
-    rank = F.row_number().over(Window.partitionBy("old_shard", "_block").orderBy("doc_id", *ties))
-    return F.col("_base") + rank - 1
-
-
-def reshard(docs: DataFrame, old_shard: Column, old: int = OLD_SHARDS, new: int = NEW_SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """docs (doc_id, text, others) with old_shard (0 to old - 1), shard (0 to
-    new - 1), moved, and slot (gapless from 0 in a shard). Sizes of the shards are
-    equal but for about a block.
-
-    Moved documents are written to the shared folder and read from there; the
-    others are read from docs. A null text counts one byte; equal texts may part;
-    rows that repeat a doc_id stay together. An empty table gives an empty table.
-    Columns of the four names are replaced.
-    """
-    docs = docs.drop("shard", "slot", "old_shard", "moved", "_block", "_base")
-    return _deal(docs, old_shard, old, new, blocks).withColumn("slot", _slot("text")).drop("_block", "_base")
+def lay_out(docs: DataFrame, shard: Column, folder: str) -> T.StructType:
+    """Write docs as the files of shards (a number from 0) under folder."""
+    docs = docs.drop("shard", "old_shard", "slot", "moved")
+    docs.withColumn("shard", shard.cast("int")).write.partitionBy("shard").parquet(folder)
+    return T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType())])
 
 
-def placement(docs: DataFrame, old_shard: Column, old: int = OLD_SHARDS, new: int = NEW_SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """reshard() without the texts: doc_id, size, text_crc32, shard, slot,
-    old_shard, moved. Sizes and checksums are of the texts where they lie after
-    the rewrite; only these columns are shuffled for the slots."""
-    docs = docs.drop("shard", "slot", "old_shard", "moved", "_block", "_base")
-    crc = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit("").cast("binary")))
-    thin = _deal(docs, old_shard, old, new, blocks).select("doc_id", size_of(F.col("text")).alias("size"), crc.alias("text_crc32"), "shard", "old_shard", "_block", "_base", "moved")
-    return thin.withColumn("slot", _slot("text_crc32", "size")).select("doc_id", "size", "text_crc32", "shard", "slot", "old_shard", "moved")
+def _read(spark: SparkSession, schema: T.StructType, folder: str, paths: list[str] | None = None) -> DataFrame:
+    if paths == []:
+        return spark.createDataFrame([], schema).withColumns({"_path": F.lit(""), "_index": F.lit(0).cast("long")})
+    df = spark.read.schema(schema).option("basePath", folder).parquet(*([folder] if paths is None else map(unquote, paths)))
+    return df.withColumns({"_path": F.col("_metadata.file_path"), "_index": F.col("_metadata.row_index")})
+
+
+def files(df: DataFrame) -> list[File]:
+    """The files that df, as read, is in: the driver gets one row a file."""
+    found = df.groupBy("_path", "shard").agg(F.sum(size_of(F.col("text"))).alias("size"), F.count("*").alias("rows")).collect()
+    return sorted(File(r["_path"], r["shard"], r["size"], r["rows"]) for r in found)
+
+
+def _of_files(df: DataFrame, rows: list, schema: str) -> DataFrame:
+    """df joined with a table of its files."""
+    known = df.sparkSession.createDataFrame(rows, schema)
+    return df.join(F.broadcast(known) if len(rows) <= BROADCAST_FILES else known, "_path")
+
+
+def reshard(spark: SparkSession, folder: str, schema: T.StructType, capacities: list[int] | int, to: str) -> Layout:
+    """Reshard the table that lay_out() wrote to folder: its new files go to the folder
+    to, files that stay are named in the layout. capacities: bytes of each new shard
+    (a null text is one byte, any other one more than its UTF-8 bytes), or the number
+    of shards of equal size.
+
+    Rows are told apart by where they lie, so null and repeated ids, ties and equal
+    rows are no matter; equal texts may part. A text longer than a capacity makes its
+    shard larger. An empty table gives an empty layout.
+    """
+    before = _read(spark, schema, folder)
+    blocks = files(before)
+    if isinstance(capacities, int):
+        total, n = sum(f.size for f in blocks), capacities
+        capacities = [total // n + (j < total % n) for j in range(n)]
+    cuts, _ = plan([f[:3] for f in blocks], capacities)
+    stay = [f for f in blocks if [j for _, j in cuts[f.path]] == [f.shard]]
+    change = [(f.path, cuts[f.path]) for f in blocks if [j for _, j in cuts[f.path]] != [f.shard]]
+    rows = _of_files(_read(spark, schema, folder, [p for p, _ in change]), change, "_path string, _cuts array<struct<end:bigint,to:int>>")
+    rows = rows.withColumnRenamed("shard", "old_shard")
+    whole = rows.where(F.size("_cuts") == 1).withColumn("shard", F.col("_cuts")[0]["to"])
+    # the files under a cut: fewer than old times new shards, each the rows of one file
+    n = size_of(F.col("text"))
+    begin = F.sum(n).over(Window.partitionBy("_path").orderBy("_index")) - n
+    split = rows.where(F.size("_cuts") > 1).withColumn("_begin", begin).withColumn("shard", F.filter("_cuts", lambda c: F.col("_begin") < c["end"])[0]["to"])
+    others = [F.col(f"`{f.name}`") for f in schema if f.name != "shard"]
+    out = whole.select(*others, "old_shard", "shard").unionByName(split.select(*others, "old_shard", "shard"))
+    out.write.partitionBy("shard").parquet(to)
+    return Layout(stay, folder, to, schema)
+
+
+def read(spark: SparkSession, layout: Layout) -> DataFrame:
+    """The documents where they lie now, with shard, old_shard, moved and slot (gapless
+    from 0 in a shard)."""
+    plain = T.StructType([*layout.schema.fields[:-1], T.StructField("old_shard", T.IntegerType()), layout.schema.fields[-1]])
+    rewritten = _read(spark, plain, layout.new)
+    kept = _read(spark, layout.schema, layout.old, [f.path for f in layout.kept]).withColumn("old_shard", F.col("shard"))
+    base: dict[int, int] = {}
+    slots = []
+    for f in sorted([*layout.kept, *files(rewritten)], key=lambda f: (f.shard, f.path)):
+        slots.append((f.path, base.get(f.shard, 0)))
+        base[f.shard] = base.get(f.shard, 0) + f.rows
+    every = _of_files(kept.unionByName(rewritten), slots, "_path string, _base bigint")
+    return every.withColumns({"moved": F.col("shard") != F.col("old_shard"), "slot": F.col("_base") + F.col("_index")}).drop("_path", "_index", "_base")
 
 
 def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as five old shards by source, resharded to eight of equal size.
+    Sizes and checksums are of the texts where they lie after the rewrite."""
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    old = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(OLD_SHARDS))
-    out = placement(docs, old)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+    old, new = scratch(spark, "reshard-old"), scratch(spark, "reshard-new")
+    schema = lay_out(docs, F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(OLD_SHARDS)), old)
+    out = read(spark, reshard(spark, old, schema, NEW_SHARDS, new))
+    crc = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit("").cast("binary")))
+    return out.select("doc_id", size_of(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
