@@ -33,22 +33,40 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/cartolith/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of keep() that are still there, in the order in which they were written.
+KEPT: list[str] = []
+
+
 def keep(df: DataFrame, name: str, codec: str = "lz4_raw") -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, and a
     lost executor costs no recomputation of what lies before."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
+    KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete what keep() wrote since KEPT was so long, but for the last tables: an
+    operator's result is lazy, so the caller releases its tables once that is read."""
+    gone = KEPT[since : len(KEPT) - but]
+    del KEPT[since : len(KEPT) - but]
+    for folder in gone:
+        _delete(spark, folder)
+
+
 def forget(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables written by keep() that no later step reads."""
-    jvm = spark.sparkContext._jvm
     for df in frames:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/cartolith/" in f}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
+            KEPT[:] = [k for k in KEPT if k.rsplit("/", 1)[1] != folder.rsplit("/", 1)[1]]
 
 
 def id_remainder(col: str, n: int) -> Column:

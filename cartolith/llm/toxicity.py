@@ -21,15 +21,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
 from .common import id_remainder, map_arrow, only, process_cache, table
 
-#: Labelled documents used for training, and the longest of them in bytes.
-MOST_TOXIC, MOST_ORDINARY, LONGEST_TRAINING = 1500, 4000, 1 << 20
+#: Labelled documents used for training, and the longest of them in bytes: 172 MiB at most.
+MOST_TOXIC, MOST_ORDINARY, LONGEST_TRAINING = 1500, 4000, 1 << 15
 DICT_ORDINARY, DICT_TOXIC = 12_000, 8_192
 GRAM = 5
 WINDOW_BYTES = 48
@@ -219,8 +219,10 @@ def totals(model: Model, column: pa.Array):
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with score and predicted in place of any columns of those names.
 
-    Whole texts are scored. A null or empty text has the score of a text without
-    windows (below 0.5). Without a model every score is 0. Other columns stay.
+    Whole texts are scored, each row by its own, whatever its doc_id; equal texts have
+    equal scores. A null or empty text has the score of a text without windows (below
+    0.5). Without a model every score is 0. Other columns stay. An empty table gives an
+    empty table.
     """
     docs = docs.drop("score", "predicted")
     names = list(docs.columns)
@@ -240,16 +242,22 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, usable=None) -> Model | None:
     """Train on a bounded sample of docs(doc_id, text) with labels(doc_id, toxic):
-    at most MOST_TOXIC and MOST_ORDINARY rows, drawn by a hash. usable: a
-    condition on doc_id. A null label is none; of several, the largest holds."""
+    at most MOST_TOXIC and MOST_ORDINARY labelled documents, those with the smallest
+    hashes, none longer than LONGEST_TRAINING bytes. usable: a condition on doc_id. A
+    null label is none; of several, the largest holds; a null doc_id has none. Of rows
+    that share a doc_id each text is an example, equal ones once, until there are as
+    many examples as documents may be drawn."""
     labels = labels.where("doc_id is not null and toxic is not null")
     if usable is not None:
         labels = labels.where(usable)
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = labels.withColumn("k", order).where(F.col("k") <= F.when(F.col("toxic") == 1, MOST_TOXIC).otherwise(MOST_ORDINARY)).select("doc_id", "toxic")
-    rows = only(docs, "doc_id", "text").where(F.length("text") > 0).where(F.octet_length("text") <= LONGEST_TRAINING).join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("text"), "doc_id").collect()
-    return train([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] != 1])
+    # each task keeps no more than the bound of a class
+    draw = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    drawn = draw(labels.where("toxic = 1"), MOST_TOXIC).unionByName(draw(labels.where("toxic <> 1"), MOST_ORDINARY))
+    texts = only(docs, "doc_id", "text").where(F.octet_length("text").between(1, LONGEST_TRAINING))
+    found = texts.join(F.broadcast(drawn), "doc_id").select("toxic", "text", F.xxhash64("text").alias("h"), "doc_id")
+    rows = lambda toxic, n: [r["text"] for r in found.where(toxic).orderBy("h", "doc_id").limit(n).collect()]
+    return train(rows("toxic = 1", MOST_TOXIC), rows("toxic <> 1", MOST_ORDINARY))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,37 @@ def test_long_words_are_read_whole(monkeypatch):
         long = bytes(i % 251 for i in range(n))
         assert all(any(long[i : i + half] in w for w in toxicity.windows(long)) for i in range(max(1, n - half + 1)))
         assert all(0 < len(w) <= toxicity.WINDOW_BYTES for w in toxicity.windows(long))
+
+
+def test_the_draw_is_bounded_and_ties_score_alike(spark, monkeypatch):
+    rows, labels = corpus(200)
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 20)
+    monkeypatch.setattr(toxicity, "MOST_ORDINARY", 30)
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda t, o: seen.append((t, o)) or train(t, o))
+    docs = spark.createDataFrame([*rows, *rows, (None, rows[0][1]), (4, "x" * 40_000)], DOCS)
+    lab = spark.createDataFrame([*labels, *labels], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(docs, lab)
+    (toxic, ordinary), text = seen[0], dict(rows)
+    assert len(toxic) == 20 and len(ordinary) == 30 and model is not None
+    assert set(toxic) <= {text[i] for i, _, t in labels if t} and set(ordinary) <= {text[i] for i, _, t in labels if not t}
+    by = {}
+    for r in toxicity.classify(docs, model).collect():
+        by.setdefault(r.text, set()).add(r.score)
+    assert all(len(v) == 1 for v in by.values())
+
+
+def test_scores_against_window_by_window(spark):
+    """The score of a text, worked out one word after the other."""
+    import math
+
+    rows, labels = corpus(300)
+    model = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    odd = [(900, "Grumblefink, mudlump! é" + "z" * 300 + " SNOTWHISTLE"), (901, None), (902, " \n "), (903, "clotbrain " * 50)]
+    for r in toxicity.classify(spark.createDataFrame(rows + odd, DOCS), model).collect():
+        text = "".join(c.lower() if c.isascii() else c for c in r.text or "")
+        for mark in toxicity.APART.decode():
+            text = text.replace(mark, " ")
+        worth = sorted((max(0.0, max(float(model.value[model.lengths(x)]) for x in toxicity.windows(w.encode()))) for w in set(text.split())), reverse=True)
+        assert abs(r.score - 1 / (1 + math.exp(model.cut - sum(worth[: toxicity.BEST])))) < 1e-5
