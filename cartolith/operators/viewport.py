@@ -9,7 +9,7 @@ from ..constants import CONE_RAYS, COVERAGE_CAP, DISC_RAYS, KIND_LABELS, M_PER_D
 from ..functions import geo
 from . import occluders
 
-MOST_AREAS = 10_000
+MOST_AREAS, MOST_LAYERS = 10_000, 1_000
 
 
 def near(views: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -59,6 +59,38 @@ def in_box(lat: Column, lon: Column, south: float, west: float, north: float, ea
     return lat.between(south, north) & lon.between(west, east)
 
 
+def first(rows: DataFrame, wanted: Column, *order: str) -> DataFrame:
+    """The first row that is wanted, or none."""
+    found = rows.where(wanted)
+    return (found.orderBy(*order) if order else found).limit(1)
+
+
+def lookup(rows: DataFrame, key: str, selected: DataFrame) -> DataFrame:
+    """selected (its column key) each with the first row of that key, or with nulls."""
+    others = [c for c in rows.columns if c != key]
+    one = rows.groupBy(key).agg(F.min(F.struct(*others)).alias("_row"))
+    return selected.join(one, key, "left").select(*selected.columns, "_row.*")
+
+
+def shown_layers(layers: DataFrame, zoom: Column, tiles: bool = True, glyphs: bool = True) -> DataFrame:
+    """layers (layer_id, type, source_layer, classes, min_zoom, max_zoom) that a style
+    draws at a zoom: without tiles the background alone, without glyphs no symbols."""
+    shown = layers.where((F.coalesce("min_zoom", F.lit(0)) <= zoom) & (zoom < F.coalesce("max_zoom", F.lit(99))))
+    shown = shown if tiles else shown.where("type = 'background'")
+    return shown if glyphs else shown.where("type <> 'symbol'")
+
+
+def drawn(features: DataFrame, layers: DataFrame) -> DataFrame:
+    """features (feature_id, source_layer, class, admin_level) with each layer that
+    draws them: of its source layer, and of its classes and levels where it names any.
+    Layers are the few of a style (MOST_LAYERS, counted)."""
+    if layers.count() > MOST_LAYERS:
+        raise ValueError(f"more than {MOST_LAYERS} layers")
+    named = layers.select("layer_id", "source_layer", "classes", "admin_levels")
+    any_of = lambda names, value: F.col(names).isNull() | F.coalesce(F.array_contains(F.col(names), F.col(value)), F.lit(False))
+    return features.join(F.broadcast(named), "source_layer").where(any_of("classes", "class") & any_of("admin_levels", "admin_level")).select("feature_id", "layer_id")
+
+
 def camera_card(cameras: DataFrame) -> DataFrame:
     """osm_id, label, faces, cover of a camera's card."""
     cone = (F.col("kind") == "FIXED") & F.col("direction_deg").isNotNull()

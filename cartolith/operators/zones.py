@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import struct
+import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import ZONES
+from ..constants import ZONES, ZONES_AS_OF
 from ..functions import geo
 from ..schemas import ZONES as SCHEMA
 
@@ -25,16 +26,11 @@ def status_label(status):
     return F.when(status == "COMMISSIONING", "Being set up").when(status == "PLANNED", "Planned")
 
 
-def fnv1a(data: bytes, h: int = 0xCBF29CE484222325) -> int:
-    """64-bit FNV-1a, continued from h."""
-    for b in data:
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return h
+def signature(zones: tuple = ZONES) -> str:
+    """Changes with ids, places, radii or their order; not with wording or status."""
+    return hashlib.sha256(json.dumps([z[:4] for z in zones]).encode()).hexdigest()
 
 
-def signature(zones: tuple = ZONES) -> int:
-    """Changes with ids, places, radii or their order; not with wording or status."""
-    h = 0xCBF29CE484222325
-    for name, lat, lon, radius, *_ in zones:
-        h = fnv1a(name.encode() + struct.pack("<ddd", lat, lon, radius), h)
-    return h
+def as_of() -> str:
+    """The day on which the table was last checked."""
+    return ZONES_AS_OF

@@ -33,7 +33,7 @@ class Router:
         return cls(build(osm_nodes, osm_ways, osm_relations))
 
     @classmethod
-    def open(cls, osm_nodes: DataFrame, osm_ways: DataFrame, osm_relations: DataFrame, path: str, source: int) -> Router:
+    def open(cls, osm_nodes: DataFrame, osm_ways: DataFrame, osm_relations: DataFrame, path: str, source: str) -> Router:
         """The stored tables where they fit the source; else built and stored. That
         storing fails is no error."""
         spark = osm_nodes.sparkSession
@@ -76,3 +76,14 @@ class Router:
 
     def zones(self) -> DataFrame:
         return zones.table(self.parts.nodes.sparkSession)
+
+    def zones_as_of(self) -> str:
+        return zones.as_of()
+
+    def camera(self, osm_id: int) -> DataFrame:
+        """The camera of that id, or no row."""
+        return viewport.first(self.parts.cameras, F.col("osm_id") == osm_id)
+
+    def zone(self, id: str) -> DataFrame:
+        """The zone of that id, or no row."""
+        return viewport.first(self.zones(), F.col("id") == id)

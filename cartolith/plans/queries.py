@@ -325,8 +325,8 @@ def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges, named = network.network(b.osm_nodes(spark, d), b.osm_ways(spark, d))
     parts = store.Parts(nodes, edges, b.cameras(spark, d), places.index(named), b.rings(spark, d))
     path = scratch_dir(spark, "store")
-    store.write(parts, path, 1)
-    got = store.read(spark, path, 1)
+    store.write(parts, path, "1")
+    got = store.read(spark, path, "1")
     other = {n: getattr(got, n).count() for n in ("cameras", "occluders")}
     return got.edges.agg(F.count("*").alias("edges"), *[F.lit(v).cast("bigint").alias(n) for n, v in other.items()], F.sum(F.col("src") * 3 + F.col("dst")).alias("edge_sum"))
 

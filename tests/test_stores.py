@@ -23,63 +23,82 @@ def parts(spark):
 
 def test_round_trip(spark, tmp_path):
     path, given = f"file://{tmp_path}/s", parts(spark)
-    store.write(given, path, 77, built_utc="2026-01-02T03:04:05Z", camera_source="live")
-    for got in (store.read(spark, path, 77), store.read(spark, path)):
+    store.write(given, path, "77", built_utc="2026-01-02T03:04:05Z", camera_source="live")
+    for got in (store.read(spark, path, "77"), store.read(spark, path)):
         for name in store.TABLES:
             a, b = getattr(given, name), getattr(got, name)
             assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
     assert [(r.key, str(r.day)) for r in store.built_on(spark, path).collect()] == [("built_utc", "2026-01-02")]
-    store.write(given, path, 78)
-    assert store.read(spark, path, 78).nodes.count() == 2
+    before = store.read(spark, path)
+    store.write(given, path, "78")
+    assert store.read(spark, path, "78").nodes.count() == before.nodes.count() == 2
+    for n in ("79", "80"):
+        store.write(given, path, n)
+    folders = lambda: sorted(p.name for p in (tmp_path / "s").iterdir() if p.is_dir())
+    assert len(folders()) == store.KEPT and len(list((tmp_path / "s").glob("manifest-*.json"))) == store.KEPT
+    assert store.read(spark, path, "80").edges.count() == 1
 
 
-def test_refusals(spark, tmp_path, monkeypatch):
+def test_refusals(spark, tmp_path):
     path, given = f"{tmp_path}/s", parts(spark)
-    refuse = lambda why, **k: pytest.raises(store.LoadFailed, match=why)
+    refuse = lambda why: pytest.raises(store.LoadFailed, match=why)
     with refuse("manifest"):
         store.read(spark, path)
-    store.write(given, path, 77)
+    store.write(given, path, "77")
     with refuse("another source"):
-        store.read(spark, path, 78)
-    manifest = tmp_path / "s" / "manifest.json"
+        store.read(spark, path, "78")
+    manifest = tmp_path / "s" / "manifest-1.json"
     whole = json.loads(manifest.read_text())
-    for change, why in (({"format": "x"}, "not a store"), ({"version": 8}, "version 8"), ({"zones": 1}, "other zones"), ({"tables": "gone"}, "not whole")):
-        (tmp_path / "s" / ".manifest.json.crc").unlink(missing_ok=True)
+    fewer = whole["proofs"] | {"edges": {"rows": "2", "checksum": whole["proofs"]["edges"]["checksum"]}}
+    for change, why in (({"format": "x"}, "not a store"), ({"version": 8}, "version 8"), ({"zones": 1}, "other zones"), ({"tables": "gone"}, "not whole"), ({"proofs": fewer}, "edges is not what was written"), ({"proofs": None}, "not what was written")):
+        (tmp_path / "s" / ".manifest-1.json.crc").unlink(missing_ok=True)
         manifest.write_text(json.dumps(whole | change))
         with refuse(why):
             store.read(spark, path)
     manifest.write_text("{")
     with refuse("manifest"):
         store.read(spark, path)
-    manifest.write_text(json.dumps(whole))
-    bad = store.Parts(given.nodes, given.edges, given.cameras.withColumn("kind", F.lit("LASER")), given.places, given.occluders)
-    store.write(bad, path, 1)
-    with refuse("outside its range"):
-        store.read(spark, path)
-    store.write(given, path, 1)
-    one = next((tmp_path / "s" / json.loads(manifest.read_text())["tables"] / "edges").glob("part-*.parquet"))
+    for cameras, places in ((given.cameras.withColumn("kind", F.lit("LASER")), given.places), (given.cameras, given.places.withColumn("kind", F.lit(None).cast("string")))):
+        store.write(store.Parts(given.nodes, given.edges, cameras, places, given.occluders), path, "1")
+        with refuse("outside its range"):
+            store.read(spark, path)
+    store.write(given, path, "1")
+    (tmp_path / "s" / "manifest.part").write_text("a write that ended before its rename")
+    assert store.read(spark, path, "1").nodes.count() == 2
+    edges = tmp_path / "s" / store.manifest(spark, path)["tables"] / "edges"
+    one = max(edges.glob("part-*.parquet"), key=lambda p: p.stat().st_size)
     one.write_bytes(one.read_bytes()[: one.stat().st_size // 2])
     with refuse("damaged"):
         store.read(spark, path)
+    one.unlink()
+    with refuse("edges"):
+        store.read(spark, path)
 
 
 def test_signatures():
     table = zones.ZONES
     assert zones.signature() == zones.signature(tuple((*z[:4], "ANY") for z in table))
     assert zones.signature() != zones.signature(table[::-1]) != zones.signature(table[1:])
-    assert zones.fnv1a(b"") == 0xCBF29CE484222325 and zones.fnv1a(b"a") == 0xAF63DC4C8601EC8C
-    assert store.fingerprint(b"ab") != store.fingerprint(b"ba") != store.fingerprint(b"b")
+    assert zones.as_of()
+
+
+def test_fingerprint(spark, tmp_path):
+    found = []
+    for name, content in (("a", b"ab"), ("b", b"ba"), ("c", b"b"), ("d", b"ab")):
+        (tmp_path / name).write_bytes(content)
+        found.append(store.fingerprint(spark, str(tmp_path / name)))
+    assert found[0] == found[3] and len(set(found)) == 3
 
 
 def test_open_builds_then_reads(spark, tmp_path):
-    elements = fixtures.mini_grid(spark)
+    elements = fixtures.quay(spark)
     path = f"file://{tmp_path}/cache"
-    fresh = Router.open(*elements, path, 5)
+    fresh = Router.open(*elements, path, "5")
     again = Router.open_store(spark, path)
     assert again.camera_count() == fresh.camera_count() == 2
     assert sorted(map(str, again.parts.edges.collect())) == sorted(map(str, fresh.parts.edges.collect()))
-    assert [r.name for r in again.search_places("mitte").collect()] == ["Mitte", "Bahnhof Mitte"]
-    assert Router.open(*elements, "/proc/nowhere", 5).place_count() == 4  # storing fails, the answer does not
+    assert [r.name for r in again.search_places("north").collect()] == ["Northmoor", "Northmoor Halt"]
+    assert Router.open(*elements, "/proc/nowhere", "5").place_count() == 4  # storing fails, the answer does not
     with pytest.raises(store.LoadFailed):
         Router.open_store(spark, f"{tmp_path}/none")
 
@@ -156,7 +175,7 @@ def test_extract(spark, tmp_path):
 
 
 def test_extract_to_router(spark, tmp_path):
-    n, w, _ = fixtures.mini_grid(spark)
+    n, w, _ = fixtures.quay(spark)
     rows = lambda df: [tuple([tuple(t) for t in v] if c == "tags" else v for c, v in zip(df.columns[1:], x[1:])) for x in df.orderBy("seq").collect()]
     path = tmp_path / "g.pbf"
     path.write_bytes(_blob(b"OSMData", _block(rows(n))) + _blob(b"OSMData", _block((), (), rows(w))))
@@ -207,6 +226,21 @@ def test_geojson(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/lines").count() == 1
 
 
+def test_lookups_and_layers(spark):
+    cameras = parts(spark).cameras
+    assert viewport.first(cameras, F.col("osm_id") == 8).first().kind == "DOME" and viewport.first(cameras, F.col("osm_id") == 9).count() == 0
+    picked = viewport.lookup(cameras.select("osm_id", "kind"), "osm_id", spark.createDataFrame([(8,), (9,)], "osm_id bigint"))
+    assert sorted((r.osm_id, r.kind) for r in picked.collect()) == [(8, "DOME"), (9, None)]
+    rows = [("bg", "background", None, None, None, None, None), ("road", "line", "transport", ["major", "minor"], None, 5, None), ("name", "symbol", "transport", None, None, 10, 14), ("border", "line", "boundary", None, [2, 4], None, None)]
+    layers = spark.createDataFrame(rows, "layer_id string, type string, source_layer string, classes array<string>, admin_levels array<int>, min_zoom int, max_zoom int")
+    ids = lambda df: sorted(r.layer_id for r in df.collect())
+    assert ids(viewport.shown_layers(layers, F.lit(12))) == ["bg", "border", "name", "road"]
+    assert ids(viewport.shown_layers(layers, F.lit(14))) == ["bg", "border", "road"] and ids(viewport.shown_layers(layers, F.lit(4))) == ["bg", "border"]
+    assert ids(viewport.shown_layers(layers, F.lit(12), tiles=False)) == ["bg"] and ids(viewport.shown_layers(layers, F.lit(12), glyphs=False)) == ["bg", "border", "road"]
+    features = spark.createDataFrame([(1, "transport", "major", None), (2, "transport", "track", None), (3, "boundary", None, 4), (4, "boundary", None, 8), (5, "water", None, None)], "feature_id bigint, source_layer string, class string, admin_level int")
+    assert sorted(tuple(r) for r in viewport.drawn(features, layers).collect()) == [(1, "name"), (1, "road"), (2, "name"), (3, "border")]
+
+
 def test_cards(spark):
     card = viewport.camera_card(parts(spark).cameras).orderBy("osm_id").collect()
     assert [(c.label, c.faces, c.cover) for c in card] == [("Fixed camera", "Faces 90° (E)", "60° cone, 25 m"), ("Dome camera", None, "All around, 20 m")]
