@@ -57,6 +57,7 @@ VIEWPORT_MIN_M, VIEWPORT_MAX_M, VIEWPORT_DEFAULT_M = 500.0, 40_000.0, 2_000.0
 WINDS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 KIND_LABELS = {"STREET": "Street", "LOCALITY": "District", "STATION": "Station"}
 BERLIN_BBOX = (52.3383, 13.0884, 52.6755, 13.7612)  # south, west, north, east
+BERLIN_CENTRE_BOX = (52.500, 13.350, 52.540, 13.440)
 # Accents that search folds away, letter by letter.
 FOLD_FROM = "äàáâãåöòóôõøüùúûéèêëíìîïçñ"
 FOLD_TO = "aaaaaaoooooouuuueeeeiiiicn"
