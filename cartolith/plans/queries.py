@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ..constants import AVOIDANCE, BERLIN_BBOX, EARTH_RADIUS_M, M_PER_DEG_GRID, M_PER_DEG_LOCAL, ZONES
 from ..functions import geo, tags, text
 from ..operators import exposure, network, occluders, places, routing, viewport, zones
-from ..schemas import OSM_RELATIONS
+from ..schemas import EDGES, OSM_RELATIONS, PLACES
 from ..session import scratch_dir
-from ..sources import geojson, store
+from ..sources import geojson, osm_xml, store
 from ..streaming import interactive
 from . import bridge as b
+from . import compare
+from .build import Router
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -311,12 +313,19 @@ def path_totals(spark: SparkSession, d: str) -> DataFrame:
     return routing.path_totals(rows, edges).select("req_id", r6(F.col("length_m"), "length_m"), r6(F.col("mean_exposure"), "mean_exposure"))
 
 
-@query(f"WITH {b.EDGES_SQL} SELECT id, TRUE AS kept FROM n")
+SNAPSHOT_TAGS = {"highway": "case when row_no % 4 > 0 then 'path' end", "building": "case when row_no % 8 = 0 then 'yes' end", "name": "'a row'"}
+
+
+@query(f"WITH n AS (SELECT {b.select(b.NODE)} FROM customer) SELECT id FROM n WHERE row_no % 8 <> 4 OR row_no = 4 UNION ALL SELECT s_suppkey + 10000000 AS id FROM supplier WHERE {b.CAMERA_TAGS['man_made']} = 'surveillance'")
 def snapshot_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes that an extract keeps: here every node is on a highway way."""
-    empty = spark.createDataFrame([], OSM_RELATIONS)
-    kept, _, _ = network.snapshot(b.osm_nodes(spark, d), b.osm_ways(spark, d), empty)
-    return kept.select("id", F.lit(True).alias("kept"))
+    """Nodes that an extract keeps: of rows with a highway or building tag or in a
+    building relation, and cameras; other rows and other nodes go."""
+    rows = b.nodes(spark, d).groupBy("row_no").agg(F.sort_array(F.collect_list("id")).alias("refs"))
+    ways = b.tagged(rows.withColumn("id", F.col("row_no") + 1_000_000).withColumn("seq", F.col("row_no")), SNAPSHOT_TAGS, "seq", "id", "refs")
+    relations = spark.createDataFrame([(0, 1, [("way", 1_000_004, "outer")], [("building", "yes")]), (1, 2, [("way", 1_000_012, "outer")], [("landuse", "forest")])], OSM_RELATIONS)
+    seen = b.camera_nodes(spark, d).withColumn("id", F.col("id") + 10_000_000)
+    kept, _, _ = network.snapshot(b.osm_nodes(spark, d).unionByName(seen), ways, relations)
+    return kept.select("id")
 
 
 @query(f"""WITH {b.EDGES_SQL}, {CAMS}, {RINGS} SELECT (SELECT count(*) FROM two) AS edges, (SELECT count(*) FROM cams) AS cameras, (SELECT count(*) FROM rg) AS occluders, (SELECT CAST(sum(src * 3 + dst) AS BIGINT) FROM two) AS edge_sum""")
@@ -404,10 +413,10 @@ def parse_metres(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "customer").select("c_custkey", F.round(text.parse_metres(raw), 6).alias("metres"))
 
 
-@query("SELECT doc_id, CAST(octet_length(encode(c)) AS BIGINT) AS n_bytes, c AS cut FROM (SELECT doc_id, (SELECT max(left(t, k)) FROM range(1, 81) r(k) WHERE octet_length(encode(left(t, k))) <= 80) AS c FROM (SELECT doc_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200) AS t FROM documents)) WHERE c IS NOT NULL")
+@query("SELECT doc_id, CAST(octet_length(encode(c)) AS BIGINT) AS n_bytes, c AS cut FROM (SELECT doc_id, (SELECT max(left(t, k)) FROM range(1, 81) r(k) WHERE octet_length(encode(left(t, k))) <= 80) AS c FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)) WHERE c IS NOT NULL")
 def cut_text(spark: SparkSession, d: str) -> DataFrame:
     """Texts cut to 80 bytes at a character."""
-    t = b.table(spark, d, "documents").select("doc_id", text.first_text(F.left(F.trim(F.regexp_replace("text", "\\s+", " ")), F.lit(200))).alias("cut"))
+    t = b.table(spark, d, "documents").select("doc_id", text.first_text(F.trim(F.regexp_replace("text", "\\s+", " "))).alias("cut"))
     return t.where("cut is not null").select("doc_id", F.octet_length("cut").cast("bigint").alias("n_bytes"), "cut")
 
 
@@ -434,14 +443,39 @@ def tap_roles(spark: SparkSession, d: str) -> DataFrame:
     return interactive.taps(_events(spark, d))
 
 
-@query()
+ACTIONS = ("TAP", "TAP", "UNDO", "LEVEL", "SET_END", "SET_START")
+PAIRED = "(e.action = 'TAP' AND s.a IS NOT NULL AND s.z IS NULL OR e.action = 'SET_START' AND s.z IS NOT NULL OR e.action = 'SET_END' AND s.a IS NOT NULL)"
+PRICE = "CASE level " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in AVOIDANCE.items()) + " END"
+
+
+def case(value: str, of: tuple) -> str:
+    return f"CASE CAST({value} % {len(of)} AS INTEGER) " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(of)) + " END"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n, {case('event_id', ACTIONS)} AS action, {case('event_id', tuple(AVOIDANCE))} AS lv FROM events),
+s AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS z, 'HIGH' AS level, CAST(NULL AS DOUBLE) AS weight FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT user_id, n, event_id, action, a, z, level, CASE WHEN plans THEN {PRICE} END FROM (SELECT e.user_id, e.n, e.event_id, e.action,
+    CASE WHEN e.action = 'TAP' AND (s.a IS NULL OR s.z IS NOT NULL) OR e.action = 'SET_START' THEN e.event_id WHEN e.action = 'UNDO' AND s.z IS NULL THEN NULL ELSE s.a END AS a,
+    CASE WHEN e.action = 'TAP' AND (s.a IS NULL OR s.z IS NOT NULL) OR e.action = 'UNDO' THEN NULL WHEN e.action IN ('TAP', 'SET_END') THEN e.event_id ELSE s.z END AS z,
+    CASE WHEN {PAIRED} THEN 'HIGH' WHEN e.action = 'LEVEL' THEN e.lv ELSE s.level END AS level, {PAIRED} OR e.action = 'LEVEL' AND s.a IS NOT NULL AND s.z IS NOT NULL AS plans
+    FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+SELECT user_id, event_id, action, a AS start, z AS "end", weight FROM s WHERE n > 0""")
 def tap_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Taps, undos and level changes of every user, in order."""
-    action = F.element_at(F.array(*map(F.lit, ("TAP", "TAP", "UNDO", "LEVEL", "SET_END", "SET_START"))), (F.col("event_id") % 6 + 1).cast("int"))
+    action = F.element_at(F.array(*map(F.lit, ACTIONS)), (F.col("event_id") % 6 + 1).cast("int"))
     level = F.element_at(F.array(*map(F.lit, AVOIDANCE)), (F.col("event_id") % 3 + 1).cast("int"))
     return interactive.sessions(_events(spark, d).select("user_id", "event_id", "ts", action.alias("action"), F.col("event_id").alias("point"), level.alias("level")))
 
 
+SAVED = {"user_id": "c_custkey", "start": "case when c_custkey % 5 > 0 then c_custkey end", "end": "case when c_custkey % 3 > 0 then c_custkey + 1 end", "level": "case c_custkey % 4 when 0 then 'LOW' when 1 then 'MEDIUM' when 2 then 'odd' end"}
+
+
+@query(f"""SELECT *, CASE WHEN plans THEN {PRICE} END AS weight FROM (SELECT {b.select({k: v for k, v in SAVED.items() if k not in ('level', 'end')})}, {SAVED['end']} AS "end", CASE WHEN c_custkey % 4 < 2 THEN {SAVED['level']} ELSE 'HIGH' END AS level, c_custkey % 5 > 0 AND c_custkey % 3 > 0 AS plans FROM customer)""")
+def restored_plans(spark: SparkSession, d: str) -> DataFrame:
+    """What saved states ask for when they come back."""
+    return interactive.restored(b.derive(b.table(spark, d, "customer"), SAVED))
+
+
 @query("SELECT event_type, CAST(time_bucket(INTERVAL 5 MINUTE, ts) AS TIMESTAMP) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return interactive.watched_minutes(b.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("total", F.round("total", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
@@ -488,11 +522,34 @@ def viewport_radius(spark: SparkSession, d: str) -> DataFrame:
     return b.nodes(spark, d).select("id", r6(geo.viewport_radius(lat, lon, lat + (i % 50) / 1e2, lon + (i % 30) / 1e2), "radius_m"))
 
 
-@query("SELECT c_custkey, lam, CASE WHEN lam > 0 THEN lam ELSE 0 END AS weight FROM customer, (VALUES (-1e0), (0e0), (1e0), (2e0), (4e0), (8e0)) t(lam)")
+SWEEP = (-1.0, 0.0, 1.0, 2.0, 4.0, 8.0)
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT {b.select(b.NODE)} FROM customer), lams AS (SELECT CAST(lam AS DOUBLE) AS lam, CAST(greatest(lam, 0) AS DOUBLE) AS w FROM (VALUES {', '.join(f'({x})' for x in SWEEP)}) t(lam)),
+big AS (SELECT a.id AS src, z.id AS dst, {hav('a.lat', 'a.lon', 'z.lat', 'z.lon')} AS len, (a.id % 5) / 5e0 AS x FROM n a JOIN n z ON (z.id = a.id + 1 AND z.row_no = a.row_no) OR z.id = a.id + {b.WIDTH}),
+p AS (SELECT lam, w, id AS node, 0e0 AS cost FROM n, lams WHERE id = 0 UNION ALL SELECT lam, w, node, cost FROM (SELECT lam, w, dst AS node, min(cost + len * (1 + w * x)) AS cost FROM p JOIN big ON src = node GROUP BY lam, w, dst)),
+c AS (SELECT lam, w, node, min(cost) AS cost FROM p GROUP BY ALL), m AS (SELECT max(c_custkey) + 1 AS size FROM customer)
+SELECT s_suppkey, lam, w AS weight, round(cost, 6) AS cost FROM supplier, m JOIN c ON c.node = s_suppkey * 31 % size""")
 def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Requests times weights: six literal rows, never a product of tables."""
-    lam = F.explode(F.array(*map(F.lit, (-1.0, 0.0, 1.0, 2.0, 4.0, 8.0))))
-    return b.table(spark, d, "customer").select("c_custkey", lam.alias("lam")).select("c_custkey", "lam", geo.no_negative(F.col("lam")).alias("weight"))
+    """A trip for each supplier at each of six weights, never a product of tables."""
+    n, edges = _right_and_down(spark, d)
+    edges = edges.withColumn("exposure", (F.col("src") % 5) / F.lit(5.0))
+    size = b.table(spark, d, "customer").agg(F.max("c_custkey")).first()[0] + 1
+    lam = F.posexplode(F.array(*map(F.lit, SWEEP)))
+    each = b.table(spark, d, "supplier").select("s_suppkey", lam.alias("i", "lam"))
+    asked = each.select((F.col("s_suppkey") * len(SWEEP) + F.col("i")).alias("req_id"), F.lit(0).cast("bigint").alias("start_id"), (F.col("s_suppkey") * 31 % size).alias("goal_id"), F.col("lam").alias("weight"))
+    found = routing.routes(asked, n, edges).select(F.expr(f"req_id div {len(SWEEP)}").alias("s_suppkey"), F.element_at(F.array(*map(F.lit, SWEEP)), (F.col("req_id") % len(SWEEP) + 1).cast("int")).alias("lam"), r6(F.col("cost"), "cost"))
+    return found.withColumn("weight", geo.no_negative(F.col("lam")))
+
+
+MD5_UNIT = lambda k: f"CAST(CAST(concat('0x', left(md5(concat('{compare.SEED}-', i, '-{k}')), 13)) AS UBIGINT) AS DOUBLE) / {16.0**13!r}"
+BOX = compare.BERLIN_CENTRE_BOX
+
+
+@query(f"SELECT CAST(i AS BIGINT) AS req_id, " + ", ".join(f"round({BOX[k % 2]}e0 + {BOX[2 + k % 2] - BOX[k % 2]!r}e0 * ({MD5_UNIT(k)}), 6) AS {n}" for k, n in enumerate(("start_lat", "start_lon", "end_lat", "end_lon"))) + f" FROM range({compare.PAIRS}) t(i)")
+def seeded_trips(spark: SparkSession, d: str) -> DataFrame:
+    """Random trips that any run draws alike: their number is a parameter."""
+    return compare.trips(spark).select("req_id", *[r6(F.col(c), c) for c in ("start_lat", "start_lon", "end_lat", "end_lon")])
 
 
 @query()
@@ -500,15 +557,103 @@ def wall_effect(spark: SparkSession, d: str) -> DataFrame:
     """The same trips with and without walls: how many got less or more exposed."""
     nodes, edges, _ = _edges(spark, d)
     cams = b.cameras(spark, d)
-    n = b.table(spark, d, "customer").agg(F.max("c_custkey")).first()[0] + 1
-    asked = b.table(spark, d, "customer").select(F.col("c_custkey").alias("req_id"), F.col("c_custkey").alias("start_id"), ((F.col("c_custkey") * 17 + 3) % n).alias("goal_id"), F.lit(3.0).alias("weight"))
-    plain, walled = (routing.routes(asked, nodes, exposure.score(edges, cams, r)).where("status = 'OK'").select("req_id", F.col("length_m").alias(f"l{i}"), F.col("mean_exposure").alias(f"x{i}")) for i, r in enumerate((None, b.rings(spark, d))))
-    both = plain.join(walled, "req_id")
-    return both.agg(F.count("*").alias("planned"), F.count_if(F.col("x1") < F.col("x0") - 1e-6).alias("lower"), F.count_if(F.col("x1") > F.col("x0") + 1e-6).alias("higher"), F.count_if(F.abs(F.col("l1") - F.col("l0")) > 0.01).alias("other_path"), r6(F.avg(F.col("x0") - F.col("x1")), "mean_drop"), F.max_by("req_id", F.struct(F.col("x0") - F.col("x1"), "req_id")).alias("largest_drop"))
+    out = compare.wall_effect(compare.trips(spark), nodes, exposure.score(edges, cams), exposure.score(edges, cams, b.rings(spark, d)))
+    return out.select("planned", "lower", "higher", "same", "skipped", *[r6(F.col(c), c) for c in ("mean_with", "mean_without", "largest_drop")], "largest_req_id")
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 5 <> 4")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 5 <> 4")
 def provenance_dates(spark: SparkSession, d: str) -> DataFrame:
     """Dates from stamps of mixed form; what does not begin with a date has none."""
     stamp = F.when(F.col("o_orderkey") % 5 == 4, F.lit("unknown")).otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z")))
-    return b.table(spark, d, "orders").select("o_orderkey", stamp.alias("s")).select("o_orderkey", F.expr("try_cast(left(s, 10) as date)").alias("day")).where("day is not null")
+    return store.dates(b.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"), stamp.alias("value")))
+
+
+PLACE_TAGS = {"name": "case when p_partkey % 7 > 0 then p_name end", "place": "case p_partkey % 5 when 0 then 'quarter' when 1 then 'hamlet' when 2 then 'town' end", "railway": "case p_partkey % 4 when 0 then 'station' when 1 then 'halt' when 2 then 'tram_stop' end", "public_transport": "case p_partkey % 6 when 0 then 'station' when 1 then 'platform' end"}
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 IN (0, 2) THEN 'LOCALITY' WHEN p_partkey % 4 < 2 OR p_partkey % 6 = 0 THEN 'STATION' END AS kind FROM part")
+def place_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return b.tagged(b.table(spark, d, "part"), PLACE_TAGS, "p_partkey").select("p_partkey", tags.place_kind(F.col("tags")).alias("kind"))
+
+
+LIVE = f"SELECT s_suppkey AS osm_id, round({b.CAMERA_POINT['lat']}, 6) AS lat, round({b.CAMERA_POINT['lon']}, 6) AS lon, {b.CAMERA_TAGS['man_made']} AS man_made, {b.CAMERA_TAGS['camera:type']} AS camera_type FROM supplier"
+
+
+@query(LIVE)
+def overpass_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a live query, written as JSON documents, read, and turned into a
+    feed of points."""
+    nodes = b.camera_nodes(spark, d)
+    element = F.struct(F.lit("node").alias("type"), "id", "lat", "lon", F.map_from_entries("tags").alias("tags"))
+    path = scratch_dir(spark, "overpass")
+    nodes.withColumn("g", F.col("id") % 8).groupBy("g").agg(F.to_json(F.struct(F.collect_list(element).alias("elements"))).alias("value")).write.partitionBy("g").text(path)
+    get = lambda p: F.get_json_object("feature", p)
+    feed = geojson.camera_feed(geojson.read_overpass(spark, path))
+    return feed.select(get("$.properties.osm_id").cast("bigint").alias("osm_id"), r6(get("$.geometry.coordinates[1]").cast("double"), "lat"), r6(get("$.geometry.coordinates[0]").cast("double"), "lon"), get("$.properties.man_made").alias("man_made"), get("$.properties['camera:type']").alias("camera_type"))
+
+
+@query(LIVE)
+def xml_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes written as XML documents and read by the reader of live answers."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    pairs = F.array_join(F.transform("tags", lambda t: F.concat(F.lit('<tag k="'), safe(t["k"]), F.lit('" v="'), safe(t["v"]), F.lit('"/>'))), "")
+    one = F.concat(F.lit('<node id="'), F.col("id"), F.lit('" lat="'), F.col("lat"), F.lit('" lon="'), F.col("lon"), F.lit('">'), pairs, F.lit("</node>"))
+    path = scratch_dir(spark, "xml")
+    document = F.concat(F.lit("<osm>"), F.array_join(F.collect_list("one"), ""), F.lit("</osm>"))
+    b.camera_nodes(spark, d).select((F.col("id") % 8).alias("g"), one.alias("one")).groupBy("g").agg(document.alias("value")).write.partitionBy("g").text(path)
+    read = osm_xml.nodes(spark, path)
+    return read.select(F.col("id").alias("osm_id"), r6(F.col("lat"), "lat"), r6(F.col("lon"), "lon"), tags.tag(F.col("tags"), "man_made").alias("man_made"), tags.tag(F.col("tags"), "camera:type").alias("camera_type"))
+
+
+@query(f"""WITH {CAMS}, vw AS (SELECT {b.select(VIEW)} FROM nation), f AS (SELECT v_id, c.* FROM vw JOIN cams c ON {hav('vw.lat', 'vw.lon', 'c.lat', 'c.lon')} <= radius_m)
+SELECT v_id, osm_id, CAST(CASE WHEN kind = 'FIXED' AND direction_deg IS NOT NULL THEN 51 ELSE 73 END AS BIGINT) AS n_points FROM f""")
+def coverage_near(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines of the cameras in each view, by the store's own query."""
+    parts = store.Parts(b.nodes(spark, d), spark.createDataFrame([], EDGES), b.cameras(spark, d), spark.createDataFrame([], PLACES), b.rings(spark, d))
+    found = Router(parts).coverage_near(b.derive(b.table(spark, d, "nation"), VIEW))
+    return found.select("v_id", "osm_id", F.size("ring").cast("bigint").alias("n_points"))
+
+
+@query("WITH z AS (SELECT * FROM (VALUES " + ", ".join(f"('{z[0]}', {z[1]}e0, {z[2]}e0, {z[3]}e0)" for z in ZONES) + f""") t(id, la, lo, r)), p AS (SELECT *, radians(i % 48 * 7.5e0) AS a FROM z, range(49) t(i))
+SELECT id, CAST(i AS BIGINT) AS i, round(la + r * cos(a) / {M_PER_DEG_GRID}e0, 6) AS lat, round(lo + r * sin(a) / ({M_PER_DEG_GRID}e0 * cos(radians(la))), 6) AS lon FROM p""")
+def zone_outlines(spark: SparkSession, d: str) -> DataFrame:
+    each = zones.outlines(zones.table(spark)).select("id", F.posexplode("ring").alias("i", "p"))
+    return each.select("id", F.col("i").cast("bigint").alias("i"), r6(F.col("p.lat"), "lat"), r6(F.col("p.lon"), "lon"))
+
+
+@query(f"WITH {CAMS} SELECT o_orderkey, o_custkey % 150 AS osm_id, kind, ai FROM orders LEFT JOIN cams ON cams.osm_id = o_custkey % 150")
+def selected_camera(spark: SparkSession, d: str) -> DataFrame:
+    """The camera that each order picks, or none."""
+    picked = b.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("osm_id"))
+    return viewport.lookup(b.cameras(spark, d).select("osm_id", "kind", "ai"), "osm_id", picked).select("o_orderkey", "osm_id", "kind", "ai")
+
+
+#: Layers of a style: id, type, source layer, classes, admin levels, first zoom, zoom from which it ends.
+LAYERS = (
+    ("ground", "background", None, None, None, None, None),
+    ("water", "fill", "water", None, None, None, None),
+    ("lanes", "line", "transportation", ("minor", "service"), None, 13, None),
+    ("roads", "line", "transportation", ("primary", "secondary"), None, 6, None),
+    ("state", "line", "boundary", None, (2, 4), None, 12),
+    ("labels", "symbol", "transportation", ("primary",), None, 14, None),
+)
+FEATURE = {"feature_id": "p_partkey", "source_layer": "case p_partkey % 4 when 0 then 'water' when 1 then 'boundary' else 'transportation' end", "class": "case p_partkey % 6 when 2 then 'minor' when 3 then 'primary' when 4 then 'secondary' when 5 then 'track' end", "admin_level": "cast(case when p_partkey % 4 = 1 then p_partkey % 5 end as int)"}
+
+
+def _layer_sql(row: tuple) -> str:
+    text_ = lambda v: "NULL" if v is None else f"'{v}'"
+    list_ = lambda v: "NULL" if v is None else "[" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in v) + "]"
+    return f"({text_(row[0])}, {text_(row[1])}, {text_(row[2])}, {list_(row[3])}, {list_(row[4])}, {row[5] or 0}, {row[6] or 99})"
+
+
+@query(f"""WITH ly AS (SELECT * FROM (VALUES {', '.join(map(_layer_sql, LAYERS))}) t(layer_id, type, sl, classes, levels, lo, hi)), f AS (SELECT {b.select(FEATURE)} FROM part), z AS (SELECT * FROM (VALUES (5, TRUE), (13, TRUE), (14, TRUE), (14, FALSE)) t(zoom, glyphs))
+SELECT zoom, glyphs, layer_id, count(*) AS n FROM z JOIN ly ON lo <= zoom AND zoom < hi AND (glyphs OR type <> 'symbol') JOIN f ON f.source_layer = sl AND (classes IS NULL OR list_contains(classes, class)) AND (levels IS NULL OR list_contains(levels, admin_level)) GROUP BY ALL""")
+def drawn_features(spark: SparkSession, d: str) -> DataFrame:
+    """How many features each layer of a style draws, at some zooms."""
+    layers = spark.createDataFrame([(*r[:3], r[3] and list(r[3]), r[4] and list(r[4]), *r[5:]) for r in LAYERS], "layer_id string, type string, source_layer string, classes array<string>, admin_levels array<int>, min_zoom int, max_zoom int")
+    features = b.derive(b.table(spark, d, "part"), FEATURE)
+    out = None
+    for zoom, glyphs in ((5, True), (13, True), (14, True), (14, False)):
+        some = viewport.drawn(features, viewport.shown_layers(layers, F.lit(zoom), glyphs=glyphs)).groupBy("layer_id").agg(F.count("*").alias("n")).select(F.lit(zoom).alias("zoom"), F.lit(glyphs).alias("glyphs"), "layer_id", "n")
+        out = some if out is None else out.unionByName(some)
+    return out
