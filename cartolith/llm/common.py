@@ -33,6 +33,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/cartolith/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a row group: a task holds one in memory while it writes.
+ROW_GROUP = 32 << 20
 #: Folders of keep() that are still there, in the order in which they were written.
 KEPT: list[str] = []
 
@@ -42,7 +44,7 @@ def keep(df: DataFrame, name: str, codec: str = "lz4_raw") -> DataFrame:
     lost executor costs no recomputation of what lies before."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
     KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

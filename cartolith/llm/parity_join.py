@@ -123,20 +123,26 @@ def _sketches(batches, width: int, exact: bool):
                 "doc_id": batch.column(0).slice(first, len(sets)),
                 "text_hash": batch.column(2).slice(first, len(sets)),
                 "n": pa.array([len(u) for u in sets], pa.int64()),
-                "fp": pa.array([len(u).to_bytes(8, "little") + np.add.reduce(kernels.mix(u)).tobytes() + np.bitwise_xor.reduce(kernels.mix(u ^ _U(0xA5A5A5A5))).tobytes() for u in sets], pa.binary()),
+                "fp": pa.array([fingerprint(u) for u in sets], pa.binary()),
                 "bits": pa.array([np.frombuffer(b, "<i8") if b else None for b, _, _ in made], pa.list_(pa.int64())),
                 "rooms": pa.array([[{"band": k, "room": r} for k, r in rooms] for _, _, rooms in made], pa.list_(pa.struct([("band", pa.int32()), ("room", pa.int32())]))),
                 "keys": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat.view(np.int64))),
             })
 
 
+def fingerprint(u: np.ndarray) -> bytes:
+    return len(u).to_bytes(8, "little") + np.add.reduce(kernels.mix(u)).tobytes() + np.bitwise_xor.reduce(kernels.mix(u ^ _U(0xA5A5A5A5))).tobytes()
+
+
 def _sets(batches, width: int):
-    """row and set of each text."""
+    """row and set of each text (row, text, fp) that has the fingerprint fp."""
     for batch in batches:
         for first, data, off in kernels.slices(batch.column(1)):
             _, _, h, at = kernels.words(data, off, lower=True)
-            sets = [kernels.shingle_set(h[at[i] : at[i + 1]], width).tobytes() for i in range(len(off) - 1)]
-            yield pa.RecordBatch.from_pydict({"row": batch.column(0).slice(first, len(sets)), "hashes": pa.array(sets, pa.binary())})
+            sets = [kernels.shingle_set(h[at[i] : at[i + 1]], width) for i in range(len(off) - 1)]
+            same = pa.array([fingerprint(u) == batch.column(2)[first + i].as_py() for i, u in enumerate(sets)], pa.bool_())
+            out = pa.RecordBatch.from_pydict({"row": batch.column(0).slice(first, len(sets)), "hashes": pa.array([u.tobytes() for u in sets], pa.binary())})
+            yield out.filter(same)
 
 
 def _verify(batches, percent: int):
@@ -163,7 +169,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, exact: b
     if percent != PERCENT:
         raise ValueError(f"the size bands are laid out for {PERCENT} percent")
     spark = docs.sparkSession
-    docs = only(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    docs = only(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text", "doc_id"))
     # rows are numbered as they are written, so their numbers stay
     made = map_arrow(docs, lambda it: _sketches(it, width, exact), "doc_id bigint, text_hash bigint, n bigint, fp binary, bits array<bigint>, rooms array<struct<band:int,room:int>>, keys array<bigint>")
     made = keep(made.withColumn("row", F.monotonically_increasing_id()), "parity")
@@ -186,10 +192,10 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, exact: b
 
     ids = keep(groups.select("row").distinct(), "parity-ids")
     bits = keep(made.select("row", "n", "bits").join(_small(ids), "row", "left_semi"), "parity-bits")
-    wanted = keep(made.select("row", "doc_id", "text_hash").join(_small(ids), "row", "left_semi"), "parity-wanted")
+    # the texts of these rows, by one long key; fingerprints settle what two texts share
+    wanted = keep(made.select("row", "text_hash", "fp").join(_small(ids), "row", "left_semi"), "parity-wanted")
     forget(spark, copies, met, made)
-    wanted = wanted.select("row", F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"))
-    chosen = docs.join(_small(wanted), (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("row", "text")
+    chosen = docs.join(_small(wanted), "text_hash").select("row", "text", "fp")
     sets = keep(map_arrow(chosen, lambda it: _sets(it, width), "row bigint, hashes binary"), "parity-sets")
     if sets.count() > ids.count():  # repeated rows
         sets = keep(sets.dropDuplicates(["row"]), "parity-sets")
