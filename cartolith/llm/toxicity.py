@@ -1,16 +1,19 @@
 """Toxicity by compression distance.
 
-Two raw-content zstandard dictionaries are trained from labelled documents. The
-ordinary one holds the most common words of ordinary documents. The toxic one
-holds those too, and after them, nearest to the input, the strings of toxic
-documents that are far more frequent there (log-likelihood ratio). A window of a text is one word, framed by the same bytes on either side;
-it is compressed with both. Where the toxic dictionary alone knows the word, the
-two lengths part.
-
-Thresholds are calibrated on labelled documents that the dictionaries have not
-seen: each pair of lengths gets the log ratio of the shares of toxic and ordinary
-documents with such a window, a document's sum is over its five best windows,
-and the cut between the classes is where the calibration documents part best.
+Two zstandard dictionaries are trained apart. The ordinary one holds the words of
+ordinary documents, the toxic one those of toxic documents, each by the number of its own
+documents that hold them, the most frequent nearest the end. As toxic documents are mostly
+ordinary too, the toxic dictionary is then trained again, in ROUNDS, on those of their
+words that compress clearly better with it than without, the words of one half judged by
+the dictionary of the other.
+
+A text is read in windows of WORDS words, side by side. Each window is compressed with the
+ordinary dictionary and with the toxic one before it: where only the toxic one knows a
+string, the second length is shorter. Both lengths are of the window in the same frame, so
+nothing else differs. Thresholds are calibrated on labelled documents that neither
+dictionary has seen: each gain, for windows of like length, gets the log ratio of its
+shares of toxic and ordinary windows (that or more), a document's sum is over its best windows, and the
+cut between the classes is where the calibration documents part best.
 """
 
 from __future__ import annotations
@@ -26,84 +29,88 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import id_remainder, map_arrow, only, process_cache, table
+from .common import id_remainder, map_arrow, only, table
 
 #: Labelled documents used for training, and the longest of them in bytes: 172 MiB at most.
 MOST_TOXIC, MOST_ORDINARY, LONGEST_TRAINING = 1500, 4000, 1 << 15
-DICT_ORDINARY, DICT_TOXIC = 12_000, 8_192
-GRAM = 5
-WINDOW_BYTES = 48
-#: Words whose value a worker remembers.
-REMEMBERED = 200_000
-BEST = 5
-#: A five-byte string is toxic where its share of documents is so many times larger, with that log-likelihood ratio.
-TIMES, LEAST_RATIO = 4, 30
+DICT_ORDINARY, DICT_TOXIC = 400_000, 8_192
+#: Training on windows that read toxic, and how many times more often a document of that class must have one.
+ROUNDS, TIMES = 3, 5
+WORDS, WINDOW_BYTES, BEST = 4, 96, 3
 APART = b".,!?;:#*$%&|\"'()[]<>"
-#: The frame: its bytes are the last of both dictionaries, so that it costs the same few bytes always.
+#: The frame of a window: its first bytes are the last of both dictionaries, so that no
+#: window is too short to be compressed; its last ones let matches reach the window's end.
 FRAME = bytes(range(128, 192))
-_U = np.uint64
-_CELLS = 96
+BEFORE, BEHIND = FRAME[-32:] + b" ", b" " + FRAME[:16]
+#: Gains and classes of window lengths that are told apart.
+_GAINS, _MIDDLE, _CLASS, _CLASSES = 40, 10, 16, 4
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13, *APART]] = True
 
 
-def _grams_in_order(text: bytes) -> np.ndarray:
-    b = np.frombuffer(text, np.uint8).astype(np.uint64)
-    n = len(b) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(GRAM):
-        h = h * _U(256) + b[i : i + n]
-    return h
-
-
-def _grams(text: bytes) -> np.ndarray:
-    return np.unique(_grams_in_order(text))
-
-
-def _split(text: str) -> list[bytes]:
+def words_of(text: str) -> list[bytes]:
+    """The distinct words of a text, as windows read them."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    s, e, _, _ = kernels.words(raw, np.array([0, len(raw)]), True, APART)
-    low = kernels.lower_ascii(raw).tobytes()
-    return [low[a:b] for a, b in zip(s.tolist(), e.tolist())]
-
-
-def windows(word: bytes) -> list[bytes]:
-    """A word of up to WINDOW_BYTES whole; of a longer one, windows that overlap by
-    half, the last of which ends with the word."""
-    last = max(0, len(word) - WINDOW_BYTES)
-    return [word[i : i + WINDOW_BYTES] for i in [*range(0, last, WINDOW_BYTES // 2), last]]
-
-
-def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The five-byte strings of some texts and in how many texts each is; a few
-    texts at a time, so that no more than the distinct ones are held."""
-    grams, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for i in range(0, len(texts), 250):
-        some, m = np.unique(np.concatenate([_grams(b" " + b" ".join(_split(t)) + b" ") for t in texts[i : i + 250]]), return_counts=True)
-        both, m = np.concatenate((grams, some)), np.concatenate((n, m))
-        order = np.argsort(both, kind="stable")
-        both, m = both[order], m[order]
-        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
-        grams, n = both[first], np.add.reduceat(m, first) if len(first) else m
-    return grams, n
+    return sorted(set(np.where(_BLANK[raw], np.uint8(32), kernels.lower_ascii(raw)).tobytes().split(b" ")) - {b""})
+
+
+def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, and row, start and end of each window, of a run of rows: lower case, marks
+    and white space between words as one space. A window of more than WINDOW_BYTES bytes
+    is taken in pieces that overlap by half, the last of which ends with it."""
+    begins, ends, _, at = kernels.words(data, off, True, APART)
+    length = ends - begins
+    starts = np.cumsum(length + 1) - (length + 1)
+    out = np.full(int((length + 1).sum()), 32, np.uint8)
+    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(starts, length) + place] = kernels.lower_ascii(data)[np.repeat(begins, length) + place]
+    n = np.diff(at)
+    count = -(-n // WORDS)
+    row = np.repeat(np.arange(len(n)), count)
+    first = at[row] + WORDS * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+    last = np.minimum(first + WORDS, at[row + 1]) - 1
+    start, end = starts[first], starts[last] + length[last]
+    # pieces of long windows
+    half = WINDOW_BYTES // 2
+    pieces = np.maximum(1, -(-(end - start - WINDOW_BYTES) // half) + 1)
+    k = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    row, start, end = (np.repeat(x, pieces) for x in (row, start, end))
+    final = k == np.repeat(pieces, pieces) - 1
+    start = np.where(final, np.maximum(end - WINDOW_BYTES, start), start + half * k)
+    return out, row, start, np.where(final, end, start + WINDOW_BYTES)
+
+
+def dictionary(documents: list[list[bytes]], size: int) -> bytes:
+    """The words that two documents or more hold, as many as size bytes take, the most
+    frequent last."""
+    counts = Counter(w for words in documents for w in words)
+    kept, room = [], size
+    for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        room -= len(w) + 1
+        if n < 2 or room < 0:
+            break
+        kept.append(w)
+    return b" " + b" ".join(kept[::-1]) + b" "
 
 
 class Model:
-    """What the executors need: two dictionaries, the value of each pair of
-    lengths, and the cut."""
+    """What the executors need: two dictionaries, the value of each gain, and the cut."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = ordinary, toxic
-        self.value = np.zeros((_CELLS, _CELLS), np.float32)
+        self.value = np.zeros((_CLASSES, _GAINS), np.float64)
         self.cut = math.inf
         self._open()
 
     def _open(self) -> None:
         import zstandard as z
 
-        shape = z.ZstdCompressionParameters(format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=16, min_match=4, hash_log=14, chain_log=14, search_log=4, strategy=z.STRATEGY_BTLAZY2, target_length=16)
-        both = [z.ZstdCompressionDict(x, dict_type=z.DICT_TYPE_RAWCONTENT) for x in (self.toxic, self.ordinary)]
-        self._toxic, self._ordinary = (z.ZstdCompressor(dict_data=d, compression_params=shape).compress for d in both)
+        shape = z.ZstdCompressionParameters(format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=20, min_match=4, hash_log=18, chain_log=20, search_log=7, strategy=z.STRATEGY_BTLAZY2, target_length=32)
+        self._compressors = []
+        for content in (self.ordinary + FRAME, self.toxic + self.ordinary + FRAME):
+            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=shape)
+            self._compressors.append(z.ZstdCompressor(dict_data=d, compression_params=shape))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
@@ -112,72 +119,112 @@ class Model:
         self.__dict__ |= state
         self._open()
 
-    def lengths(self, word: bytes) -> tuple[int, int]:
-        framed = FRAME + b" " + word + b" " + FRAME[:16]
-        return min(len(self._toxic(framed)), _CELLS - 1), min(len(self._ordinary(framed)), _CELLS - 1)
-
-    def of(self, word: bytes) -> float:
-        """The value of a word; of a long one, the best of its windows."""
-        return max(float(self.value[self.lengths(x)]) for x in windows(word))
+    def gains(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """By how many bytes the toxic dictionary shortens each window."""
+        import zstandard as z
 
-    def total(self, words: set[bytes]) -> float:
-        return sum(sorted((max(0.0, self.of(w)) for w in words), reverse=True)[:BEST])
+        if not len(start):
+            return np.zeros(0, np.int64)
+        length = end - start
+        whole = length + len(BEFORE) + len(BEHIND)
+        at = np.cumsum(whole) - whole
+        framed = np.empty(int(whole.sum()), np.uint8)
+        framed[(at[:, None] + np.arange(len(BEFORE))).ravel()] = np.tile(np.frombuffer(BEFORE, np.uint8), len(at))
+        framed[((at + len(BEFORE) + length)[:, None] + np.arange(len(BEHIND))).ravel()] = np.tile(np.frombuffer(BEHIND, np.uint8), len(at))
+        place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        framed[np.repeat(at + len(BEFORE), length) + place] = data[np.repeat(start, length) + place]
+        segments = z.BufferWithSegments(framed.tobytes(), np.stack((at, whole), 1).astype("<u8").tobytes())
+        ordinary, toxic = (np.fromiter(map(len, c.multi_compress_to_buffer(segments, threads=1)), np.int64, len(at)) for c in self._compressors)
+        return ordinary - toxic
+
+    def values(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The value of each window: none is below zero."""
+        return np.maximum(self.value[_cells(self.gains(data, start, end), end - start)], 0)
 
     def score(self, total: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(np.clip(self.cut - total, -50, 50)))
 
 
+def _cells(gain: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum(length // _CLASS, _CLASSES - 1), np.clip(gain + _MIDDLE, 0, _GAINS - 1)
+
+
+def _sums(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    """The sum of the BEST values of each row."""
+    out, hit = np.zeros(rows), np.flatnonzero(value > 0)
+    order = np.lexsort((-value[hit], row[hit]))
+    r, v = row[hit][order], value[hit][order]
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    np.add.at(out, r[rank < BEST], v[rank < BEST])
+    return out
+
+
+def _word_gains(words: set[bytes], ordinary: bytes, toxic: bytes) -> dict[bytes, int]:
+    listed = sorted(words)
+    length = np.array([len(w) for w in listed], np.int64)
+    end = np.cumsum(length)
+    return dict(zip(listed, Model(ordinary, toxic).gains(np.frombuffer(b"".join(listed), np.uint8), end - length, end).tolist()))
+
+
+def _toxic_words(toxic: list[list[bytes]], spare: list[list[bytes]], ordinary: bytes) -> list[list[bytes]]:
+    """Of the words of toxic documents those that the dictionary of the other half
+    shortens by so much that documents of spare, which are ordinary and in neither
+    dictionary, seldom have such a word."""
+    halves = [toxic[::2], toxic[1::2]]
+    for _ in range(ROUNDS):
+        trained = [dictionary(h, DICT_TOXIC) for h in halves]
+        gains = [_word_gains({w for d in h for w in d}, ordinary, t) for h, t in zip(halves, trained[::-1])]
+        usual = _word_gains({w for d in spare for w in d}, ordinary, dictionary(halves[0] + halves[1], DICT_TOXIC))
+        for least in range(1, _GAINS):
+            often = sum(g[w] >= least for h, g in zip(halves, gains) for d in h for w in d) / max(1, len(toxic))
+            seldom = (sum(usual[w] >= least for d in spare for w in d) + 0.5) / max(1, len(spare))
+            if often >= TIMES * seldom:
+                break
+        else:
+            break
+        halves = [[[w for w in d if g[w] >= least] for d in h] for h, g in zip(halves, gains)]
+    return halves[0] + halves[1]
+
+
+def _values(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """The value of each gain, for each class of lengths, from counts of windows: the log
+    ratio of the shares of windows with that gain or more. A larger gain is worth no less,
+    so that one which calibration has not met has a value too; a gain below the least
+    that a toxic window had is worth nothing."""
+    tail = lambda c: (c[:, ::-1].cumsum(1)[:, ::-1] + 0.5) / (c.sum(1, keepdims=True) + 1)
+    value = np.log(tail(toxic)) - np.log(tail(ordinary))
+    met = toxic.copy()
+    met[:, : _MIDDLE + 1] = 0
+    return np.maximum.accumulate(np.where(met.cumsum(1) > 0, value, 0), 1)
+
+
+def _runs(texts: list[str]):
+    """kernels.slices of some texts."""
+    return kernels.slices(pa.array(texts, pa.string()))
+
+
 def train(toxic: list[str], ordinary: list[str]) -> Model | None:
     """None where either class has no document."""
     toxic, ordinary = (list(dict.fromkeys(x)) for x in (toxic, ordinary))
     if not toxic or not ordinary:
         return None
-    first = {t: zlib.crc32(t.encode()) % 3 != 0 for t in toxic + ordinary}
-    fit_t, fit_o = ([t for t in x if first[t]] or x for x in (toxic, ordinary))
-    check_t, check_o = ([t for t in x if not first[t]] or x for x in (toxic, ordinary))
-    with_t, n_t = _counts(fit_t)
-    with_o, n_o = _counts(fit_o)
-    if len(with_o):
-        at = np.minimum(np.searchsorted(with_o, with_t), len(with_o) - 1)
-        other = np.where(with_o[at] == with_t, n_o[at], 0)
-    else:
-        other = np.zeros(len(with_t), np.int64)
-    share = len(fit_t) / (len(fit_t) + len(fit_o))
-    both = n_t + other
-    ratio = 2 * (n_t * np.log(n_t / (both * share)) + np.where(other > 0, other * np.log(np.maximum(other, 1) / (both * (1 - share))), 0))
-    good = with_t[(n_t / len(fit_t) > TIMES * (other + 0.5) / len(fit_o)) & (ratio > LEAST_RATIO)]
-
-    def strings(word: bytes) -> list[bytes]:
-        """The longest strings of a word all of whose five-byte strings are good."""
-        padded = b" " + word + b" "
-        g = _grams_in_order(padded)
-        if not len(good) or not len(g):
-            return []
-        hit = good[np.minimum(np.searchsorted(good, g), len(good) - 1)] == g
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-        return [padded[i : j + GRAM - 1] for i, j in zip(edge[::2].tolist(), edge[1::2].tolist())]
-
-    seen: dict[bytes, list[bytes]] = {}
-    counts: Counter = Counter()
-    for t in fit_t:
-        for x in set(_split(t)):
-            if x not in seen:
-                seen[x] = strings(x)
-            counts.update(seen[x])
-    known = b"\0".join(w for w, n in sorted(counts.items(), key=lambda x: (x[1], x[0])) if n > 1)[-DICT_TOXIC:]
-    common: Counter = Counter()
-    for t in fit_o:
-        common.update(set(_split(t)))
-    usual = b" ".join(w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:20_000][::-1])[-DICT_ORDINARY:]
-    model = Model(usual + b" " + FRAME, usual + b" " + known + b" " + FRAME)
-
-    cells_t, cells_o = Counter(), Counter()
-    for texts, cells in ((check_t, cells_t), (check_o, cells_o)):
-        for t in texts:
-            cells.update({model.lengths(x) for word in set(_split(t)) for x in windows(word)})
-    for cell in cells_t | cells_o:
-        model.value[cell] = math.log((cells_t[cell] + 0.5) / (len(check_t) + 1)) - math.log((cells_o[cell] + 0.5) / (len(check_o) + 1))
-    totals = np.array([model.total(set(_split(t))) for t in check_t + check_o])
+    part = lambda texts, keep: [t for t in texts if keep(zlib.crc32(t.encode()) % 4)] or texts
+    fit_t, fit_o, check_t, check_o = part(toxic, lambda r: r > 0), part(ordinary, lambda r: r > 1), part(toxic, lambda r: r == 0), part(ordinary, lambda r: r == 0)
+    usual = dictionary([words_of(t) for t in fit_o], DICT_ORDINARY)
+    spare = [words_of(t) for t in part(ordinary, lambda r: r == 1)]
+    model = Model(usual, dictionary(_toxic_words([words_of(t) for t in fit_t], spare, usual), DICT_TOXIC))
+
+    counts, seen = [], []
+    for texts in (check_t, check_o):
+        count = np.zeros((_CLASSES, _GAINS))
+        for _, data, off in _runs(texts):
+            made, row, start, end = windows(data, off)
+            gain = model.gains(made, start, end)
+            np.add.at(count, _cells(gain, end - start), 1)
+            seen.append((row, gain, end - start, len(off) - 1))
+        counts.append(count)
+    model.value = _values(*counts)
+    totals = np.concatenate([_sums(row, np.maximum(model.value[_cells(gain, length)], 0), n) for row, gain, length, n in seen])
     truth = np.arange(len(totals)) < len(check_t)
     levels = np.unique(np.concatenate((totals, [0.5])))
     f1 = [2 * (truth & (totals >= c)).sum() / (truth.sum() + (totals >= c).sum()) for c in levels]
@@ -189,31 +236,9 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
 
 def totals(model: Model, column: pa.Array):
     """(first row, sums) over a string column."""
-    known = process_cache("toxicity").setdefault(zlib.crc32(model.toxic + model.ordinary + model.value.tobytes()), {})
     for first, data, off in kernels.slices(column):
-        s, e, h, at = kernels.words(data, off, True, APART)
-        out = np.zeros(len(off) - 1)
-        if len(s):
-            u, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-            raw = kernels.lower_ascii(data).tobytes()
-            a, b = s[index].tolist(), e[index].tolist()
-            value = np.empty(len(u), np.float32)
-            for i, key in enumerate(u.tolist()):
-                v = known.get(key)
-                if v is None:
-                    v = model.of(raw[a[i] : b[i]])
-                    if len(known) < REMEMBERED:
-                        known[key] = v
-                value[i] = v
-            hits = np.flatnonzero(value[inverse] > 0)
-            row = np.searchsorted(at, hits, side="right") - 1
-            pairs = np.unique(np.stack((row, inverse[hits]), 1), axis=0)
-            v = value[pairs[:, 1]]
-            order = np.lexsort((-v, pairs[:, 0]))
-            r, v = pairs[order, 0], v[order]
-            rank = np.arange(len(r)) - np.searchsorted(r, r)
-            np.add.at(out, r[rank < BEST], v[rank < BEST])
-        yield first, out
+        made, row, start, end = windows(data, off)
+        yield first, _sums(row, model.values(made, start, end), len(off) - 1)
 
 
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:

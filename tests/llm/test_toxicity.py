@@ -1,4 +1,7 @@
 import random
+import re
+
+import numpy as np
 
 from cartolith.llm import toxicity
 
@@ -44,28 +47,46 @@ def test_no_labels_and_no_rows(spark):
     assert toxicity.classify(docs.limit(0), model).count() == 0
 
 
-def test_long_words_are_read_whole(monkeypatch):
-    """A string across a 48-byte border of a long word is scored and calibrated."""
-    import random
+def plain_windows(text):
+    """Words by fours, one space between; more than WINDOW_BYTES bytes in pieces."""
+    text = "".join(c.lower() if c.isascii() else c for c in text or "")
+    for mark in toxicity.APART.decode():
+        text = text.replace(mark, " ")
+    words, out, size = [w.encode() for w in re.split("[\x20\x09-\x0D]+", text) if w], [], toxicity.WINDOW_BYTES
+    for i in range(0, len(words), toxicity.WORDS):
+        w = b" ".join(words[i : i + toxicity.WORDS])
+        at = 0
+        while at + size < len(w):
+            out.append(w[at : at + size])
+            at += size // 2
+        out.append(w[max(0, len(w) - size) :] if at else w)
+    return out
+
+
+def test_windows_cover_texts_whole():
+    texts = ["", " .. ", "One, two!  three\n\tfour five", "é" * 300, "a " * 4001, "x" * 97 + " yy zz", "w" * 96, "Grumblefink (z) " * 3, "k" * 1000 + " end"]
+    data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    made, row, start, end = toxicity.windows(data, off)
+    got = [[made[a:b].tobytes() for a, b in zip(start[row == i], end[row == i])] for i in range(len(texts))]
+    assert got == [plain_windows(t) for t in texts]
+    assert all(len(w) <= toxicity.WINDOW_BYTES for g in got for w in g)
+    half = toxicity.WINDOW_BYTES // 2
+    assert all(any(b"k" * i + b" end" in w for w in got[8]) for i in range(half - 4)) and len(got[3]) > 1
 
-    from cartolith.llm import toxicity
 
-    r = random.Random(1)
-    word = "".join(r.choices("klmnopqrst", k=42)) + "grumblefinkers" + "".join(r.choices("klmnopqrst", k=60))
-    seen = []
-    lengths = toxicity.Model.lengths
-    monkeypatch.setattr(toxicity.Model, "lengths", lambda self, x: seen.append(x) or lengths(self, x))
-    toxicity.Model(b"a", b"b").of(word.encode())
-    assert any(b"grumblefinkers" in x for x in seen)
-    del seen[:]
-    monkeypatch.setattr(toxicity.Model, "of", lambda self, x: 0.0)  # calibration alone
-    toxicity.train([f"{word} {i}" for i in range(9)], [f"usual words {i}" for i in range(9)])
-    assert {word[:48].encode(), word[-48:].encode()} <= set(seen) and any(b"grumblefinkers" in x for x in seen)
-    half = toxicity.WINDOW_BYTES // 2
-    for n in (1, 48, 49, 72, 96, 97, 500):
-        long = bytes(i % 251 for i in range(n))
-        assert all(any(long[i : i + half] in w for w in toxicity.windows(long)) for i in range(max(1, n - half + 1)))
-        assert all(0 < len(w) <= toxicity.WINDOW_BYTES for w in toxicity.windows(long))
+def test_dictionaries_are_trained_apart():
+    """Each holds the words of its own documents alone, and the toxic one only what
+    ordinary text does not explain."""
+    rows, labels = corpus(800)
+    text = dict(rows)
+    toxic, ordinary = [text[i] for i, _, t in labels if t], [text[i] for i, _, t in labels if not t]
+    model = toxicity.train(toxic, ordinary)
+    insults = [b"grumblefink", b"snotwhistle", b"mudlump", b"clotbrain"]
+    assert all(w in model.toxic and w not in model.ordinary for w in insults)
+    assert set(model.toxic.split()) <= {w for t in toxic for w in toxicity.words_of(t)}
+    assert set(model.ordinary.split()) <= {w for t in ordinary for w in toxicity.words_of(t)}
+    gain = lambda w: int(model.gains(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    assert gain(b"thon er grumblefink an") >= 4 and abs(gain(b"thon er on an")) <= 1
 
 
 def test_the_draw_is_bounded_and_ties_score_alike(spark, monkeypatch):
@@ -88,15 +109,25 @@ def test_the_draw_is_bounded_and_ties_score_alike(spark, monkeypatch):
 
 
 def test_scores_against_window_by_window(spark):
-    """The score of a text, worked out one word after the other."""
+    """The score of a text from the lengths of one window after the other."""
     import math
 
+    import zstandard
+
     rows, labels = corpus(300)
     model = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    shape = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=20, min_match=4, hash_log=18, chain_log=20, search_log=7, strategy=zstandard.STRATEGY_BTLAZY2, target_length=32)
+    both = []
+    for content in (model.ordinary, model.toxic + model.ordinary):
+        made = zstandard.ZstdCompressionDict(content + toxicity.FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made.precompute_compress(compression_params=shape)
+        both.append(zstandard.ZstdCompressor(dict_data=made, compression_params=shape))
     odd = [(900, "Grumblefink, mudlump! é" + "z" * 300 + " SNOTWHISTLE"), (901, None), (902, " \n "), (903, "clotbrain " * 50)]
-    for r in toxicity.classify(spark.createDataFrame(rows + odd, DOCS), model).collect():
-        text = "".join(c.lower() if c.isascii() else c for c in r.text or "")
-        for mark in toxicity.APART.decode():
-            text = text.replace(mark, " ")
-        worth = sorted((max(0.0, max(float(model.value[model.lengths(x)]) for x in toxicity.windows(w.encode()))) for w in set(text.split())), reverse=True)
-        assert abs(r.score - 1 / (1 + math.exp(model.cut - sum(worth[: toxicity.BEST])))) < 1e-5
+    for r in toxicity.classify(spark.createDataFrame(rows[:60] + odd, DOCS), model).collect():
+        worth = []
+        for w in plain_windows(r.text):
+            gain = len(both[0].compress(toxicity.BEFORE + w + toxicity.BEHIND)) - len(both[1].compress(toxicity.BEFORE + w + toxicity.BEHIND))
+            row, column = toxicity._cells(np.array([gain]), np.array([len(w)]))
+            worth.append(max(0.0, float(model.value[row[0], column[0]])))
+        total = sum(sorted(worth, reverse=True)[: toxicity.BEST])
+        assert abs(r.score - 1 / (1 + math.exp(model.cut - total))) < 1e-9
