@@ -30,16 +30,13 @@ def search(places: DataFrame, query: str, limit: int) -> DataFrame:
 
 def search_many(places: DataFrame, searches: DataFrame) -> DataFrame:
     """The same for searches(q_id, query, lim), as q_id, rank_no (from 1) and the
-    place. Searches are keyed by the first three letters of the folded query, so
-    that a name meets only searches for strings it holds; shorter queries meet all."""
-    grams = lambda c: F.when(F.char_length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))))
-    wanted = searches.withColumn("needle", text.fold(F.col("query"))).where("needle <> ''")
-    long = wanted.where(F.char_length("needle") >= 3).withColumn("gram", F.left("needle", F.lit(3)))
-    met = places.withColumn("gram", F.explode(grams(F.col("key")))).join(long, "gram").drop("gram")
-    # Queries of one or two letters match most names: a nested loop over the short list of them.
-    short = wanted.where(F.char_length("needle") < 3)
-    few = places.join(F.broadcast(short) if short.count() <= 10_000 else short, F.contains("key", F.col("needle")))
-    both = met.where(F.contains("key", F.col("needle"))).unionByName(few)
+    place. Searches are keyed by the first three letters of the folded query (or all of
+    a shorter one), so that a name meets only searches for strings it holds."""
+    wanted = searches.withColumn("needle", text.fold(F.col("query"))).where("needle <> ''").withColumn("gram", F.left("needle", F.lit(3)))
+    lengths = [r[0] for r in wanted.select(F.char_length("gram")).distinct().collect()]  # three at most
+    pieces = lambda n: F.when(F.char_length("key") >= n, F.transform(F.sequence(F.lit(1), F.char_length("key") - (n - 1)), lambda i: F.substring(F.col("key"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *map(pieces, sorted(lengths))))
+    both = places.withColumn("gram", F.explode(grams)).join(wanted, "gram").drop("gram").where(F.contains("key", F.col("needle")))
     ranked = both.withColumn("rank", F.when(F.startswith("key", F.col("needle")), 0).otherwise(1))
     order = [c for c in ("part", "seq") if c in places.columns]
     number = F.row_number().over(Window.partitionBy("q_id").orderBy("rank", F.char_length("name"), "name", *order))

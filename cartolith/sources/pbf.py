@@ -2,7 +2,7 @@
 
 A file is a run of blobs, each a zlib-compressed block of elements. Each read
 partition is a range of blobs: planning reads blob headers alone, tasks inflate
-and decode their own. Elements come as rows of the three element tables; seq
+and decode their own, a batch for each blob. Elements come as the three element tables; seq
 follows file order.
 
     spark.dataSource.register(PbfDataSource)
@@ -17,6 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas
@@ -169,6 +170,17 @@ def elements(block: bytes, kind: str) -> Iterator[tuple]:
                 yield signed(p[1]), [(MEMBER_TYPES[t], ref, strings[role]) for t, ref, role in members], tagged(p)
 
 
+def _arrow(kind: str) -> pa.Schema:
+    pair = lambda *names: pa.struct([(n, pa.string()) for n in names])
+    tags, whole = ("tags", pa.list_(pair("k", "v"))), pa.int64()
+    own = {
+        "nodes": [("id", whole), ("lat", pa.float64()), ("lon", pa.float64())],
+        "ways": [("id", whole), ("refs", pa.list_(whole))],
+        "relations": [("id", whole), ("members", pa.list_(pa.struct([("type", pa.string()), ("ref", whole), ("role", pa.string())])))],
+    }
+    return pa.schema([("seq", whole), *own[kind], tags])
+
+
 class _Range(InputPartition):
     def __init__(self, first: int, blobs: list[tuple[int, int]]):
         self.first, self.blobs = first, blobs
@@ -189,12 +201,16 @@ class _Reader(DataSourceReader):
             data = [(at, n) for kind, at, n in scan(source, source.size()) if kind == "OSMData"]
         return [_Range(i, data[i : i + self.blobs]) for i in range(0, len(data), self.blobs)] or [_Range(0, [])]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        """A batch for each blob."""
+        schema = _arrow(self.kind)
         with self._open() as source:
             for k, (at, n) in enumerate(partition.blobs):
                 source.seek(at)
-                for i, row in enumerate(elements(inflate(source.read(n)), self.kind)):
-                    yield ((partition.first + k) * (1 << 32) + i, *row)
+                rows = list(elements(inflate(source.read(n)), self.kind))
+                first = (partition.first + k) * (1 << 32)
+                columns = [range(first, first + len(rows)), *zip(*rows)] if rows else [[] for _ in schema]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 class PbfDataSource(DataSource):
