@@ -228,10 +228,10 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, exact: b
             left = whole.select("key", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), F.col("row").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("bits").alias("a_bits"))
             right = whole.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("row").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("bits").alias("b_bits"))
             pairs = left.join(right, ["key", "part"]).where(near & (F.col("a") < F.col("b")) & _close(percent))
-        pairs = keep(pairs.select("a", "b").distinct(), "parity-pairs")
-        with_sets = pairs.join(sets.toDF("a", "x_set"), "a").join(sets.toDF("b", "y_set"), "b")
+        with_sets = pairs.select("a", "b").distinct().join(sets.toDF("a", "x_set"), "a").join(sets.toDF("b", "y_set"), "b")
         good = keep(map_arrow(with_sets, lambda it: _verify(it, percent), "a bigint, b bigint, ok boolean").where("ok").select("a", "b"), "parity-links")
-        forget(spark, pairs, *([now, still] if label is not None else []))
+        if label is not None:
+            forget(spark, now, still)
         links = good if links is None else links.unionByName(good)
         label = components(links)
         if full:
