@@ -72,8 +72,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Each row is judged by its own text, whatever other rows share its doc_id; of
     repeated rows one stays."""
     rows, key, plain = _keyed(docs)
-    linked = keep(parity_join.linked(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"), "pipeline-linked")
+    linked = parity_join.linked(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
     if not plain:  # the group's smallest doc_id need not have its smallest number
+        linked = keep(linked, "pipeline-linked")
         first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
         best = linked.join(rows.select(F.col(key).alias("row"), "doc_id"), "row").groupBy("component_id").agg(first.alias("best"))
         linked = linked.join(best, "component_id").select("row", F.col("best").alias("component_id"))
