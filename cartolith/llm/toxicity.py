@@ -37,6 +37,8 @@ DICT_ORDINARY, DICT_TOXIC = 400_000, 8_192
 #: Training on windows that read toxic, and how many times more often a document of that class must have one.
 ROUNDS, TIMES = 3, 5
 WORDS, WINDOW_BYTES, BEST = 4, 96, 3
+#: The shortest match that the compressors take.
+LEAST_MATCH = 4
 APART = b".,!?;:#*$%&|\"'()[]<>"
 #: The frame of a window: its first bytes are the last of both dictionaries, so that no
 #: window is too short to be compressed; its last ones let matches reach the window's end.
@@ -56,12 +58,12 @@ def words_of(text: str) -> list[bytes]:
 
 def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, and row, start and end of each window, of a run of rows: lower case, marks
-    and white space between words as one space. A window of more than WINDOW_BYTES bytes
+    and white space between words as one space, and one at either end. A window of more than WINDOW_BYTES bytes
     is taken in pieces that overlap by half, the last of which ends with it."""
     begins, ends, _, at = kernels.words(data, off, True, APART)
     length = ends - begins
-    starts = np.cumsum(length + 1) - (length + 1)
-    out = np.full(int((length + 1).sum()), 32, np.uint8)
+    starts = np.cumsum(length + 1) - length
+    out = np.full(int((length + 1).sum()) + 1, 32, np.uint8)
     place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
     out[np.repeat(starts, length) + place] = kernels.lower_ascii(data)[np.repeat(begins, length) + place]
     n = np.diff(at)
@@ -105,12 +107,14 @@ class Model:
     def _open(self) -> None:
         import zstandard as z
 
-        shape = z.ZstdCompressionParameters(format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=20, min_match=4, hash_log=18, chain_log=20, search_log=7, strategy=z.STRATEGY_BTLAZY2, target_length=32)
+        shape = z.ZstdCompressionParameters(format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=20, min_match=LEAST_MATCH, hash_log=15, chain_log=20, search_log=7, strategy=z.STRATEGY_BTLAZY2, target_length=32)
         self._compressors = []
         for content in (self.ordinary + FRAME, self.toxic + self.ordinary + FRAME):
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=shape)
             self._compressors.append(z.ZstdCompressor(dict_data=d, compression_params=shape))
+        self._known = np.zeros(1 << 18, bool)
+        self._known[_strings(np.frombuffer(self.toxic, np.uint8))] = True
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
@@ -120,11 +124,20 @@ class Model:
         self._open()
 
     def gains(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """By how many bytes the toxic dictionary shortens each window."""
+        """By how many bytes the toxic dictionary shortens each window. It cannot shorten
+        one that shares no string of LEAST_MATCH bytes with it: there are no matches."""
+        out = np.zeros(len(start), np.int64)
+        before = np.concatenate(([0], np.cumsum(self._known[_strings(data)])))
+        spaced = (start > 0) & (end < len(data)) & (data[start - 1] == 32) & (data[np.minimum(end, len(data) - 1)] == 32) if len(start) else start > 0
+        last = np.clip(end + 2 - LEAST_MATCH, 0, len(before) - 1)
+        may = np.flatnonzero(~spaced | (before[np.maximum(last, start - 1)] > before[np.clip(start - 1, 0, len(before) - 1)]))
+        if len(may):
+            out[may] = self._gains(data, start[may], end[may])
+        return out
+
+    def _gains(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         import zstandard as z
 
-        if not len(start):
-            return np.zeros(0, np.int64)
         length = end - start
         whole = length + len(BEFORE) + len(BEHIND)
         at = np.cumsum(whole) - whole
@@ -145,6 +158,17 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.cut - total, -50, 50)))
 
 
+def _strings(data: np.ndarray) -> np.ndarray:
+    """A hash of 18 bits of each string of LEAST_MATCH bytes."""
+    if len(data) < LEAST_MATCH:
+        return np.zeros(0, np.int64)
+    b, n = data.astype(np.uint32), len(data) - LEAST_MATCH + 1
+    v = b[:n].copy()
+    for i in range(1, LEAST_MATCH):
+        v |= b[i : i + n] << np.uint32(8 * i)
+    return (v * np.uint32(2654435761)) >> np.uint32(14)
+
+
 def _cells(gain: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(length // _CLASS, _CLASSES - 1), np.clip(gain + _MIDDLE, 0, _GAINS - 1)
 

@@ -116,7 +116,7 @@ def test_scores_against_window_by_window(spark):
 
     rows, labels = corpus(300)
     model = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
-    shape = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=20, min_match=4, hash_log=18, chain_log=20, search_log=7, strategy=zstandard.STRATEGY_BTLAZY2, target_length=32)
+    shape = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=20, min_match=4, hash_log=15, chain_log=20, search_log=7, strategy=zstandard.STRATEGY_BTLAZY2, target_length=32)
     both = []
     for content in (model.ordinary, model.toxic + model.ordinary):
         made = zstandard.ZstdCompressionDict(content + toxicity.FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
