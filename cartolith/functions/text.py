@@ -43,9 +43,9 @@ def parse_direction(v: Column) -> Column:
 
 
 def cut_bytes(v: Column, most: int = MAX_TAG_BYTES) -> Column:
-    """The longest prefix of whole characters within so many bytes."""
-    longest = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.lit(0), lambda best, k: F.when(F.octet_length(F.left(v, k)) <= most, k).otherwise(best))
-    return F.when(F.octet_length(v) <= most, v).otherwise(F.left(v, longest))
+    """The longest prefix of whole characters within so many bytes. v is worked out once."""
+    longest = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.lit(0), lambda best, k: F.when(F.octet_length(F.left(x, k)) <= most, k).otherwise(best))
+    return F.transform(F.array(v), lambda x: F.when(F.octet_length(x) <= most, x).otherwise(F.left(x, longest(x))))[0]
 
 
 def first_text(*values: Column) -> Column:
