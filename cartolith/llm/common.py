@@ -85,10 +85,10 @@ def process_cache(name: str) -> dict:
     return kept.setdefault(name, {})
 
 
-#: Bytes of an Arrow batch. Spark's own default is eight times this; a batch is held
+#: Bytes of an Arrow batch. Spark's own default is 32 times this; a batch is held
 #: in the JVM and in the worker, and again on the way back.
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-ARROW_DEFAULT, ARROW_BATCH = "67108864b", "8m"
+ARROW_DEFAULT, ARROW_BATCH = "67108864b", "2m"
 
 
 def give_back() -> None:
