@@ -100,11 +100,13 @@ def test_live_cameras(spark):
 
 
 def test_snapshot(spark):
-    osm_nodes, osm_ways, relations = fixtures.scenes(spark)
-    extra = osm_ways.limit(1).selectExpr("999L as seq", "999L as id", "array(1L, 2L) as refs", "cast(array() as array<struct<k:string,v:string>>) as tags")
-    n, w, r = network.snapshot(osm_nodes, osm_ways.unionByName(extra), relations)
-    assert r.count() == 1 and sorted(x.id for x in w.collect()) == [100, 101, 102, 1000, 1001, 1003, 1200]
-    assert n.count() == osm_nodes.count()
+    osm_nodes, osm_ways, relations = fixtures.yards(spark)
+    more = lambda df, **c: df.unionByName(df.limit(1).selectExpr(*[f"{c[n]} as {n}" if n in c else n for n in df.columns]))
+    none = "cast(array() as array<struct<k:string,v:string>>)"
+    ways = more(osm_ways, seq="999L", id="999L", refs="array(1L, 888L)", tags=none)
+    n, w, r = network.snapshot(more(osm_nodes, seq="888L", id="888L", tags=none), ways, relations)
+    assert r.count() == 1 and sorted(x.id for x in w.collect()) == [700, 701, 702, 703, 750, 751, 752, 753, 754]
+    assert sorted(x.id for x in n.collect()) == sorted(x.id for x in osm_nodes.collect())
 
 
 def test_bridge_reads_alike(spark):
