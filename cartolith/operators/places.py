@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
+#: Searches that may be broadcast (their strings, a row each); beyond, names and searches are joined by a shuffle.
+BROADCAST_SEARCHES = 10_000
+
 
 def index(places: DataFrame, *order: str) -> DataFrame:
     """Places without neighbours of equal name and kind: of each name's places in
@@ -33,7 +36,10 @@ def search_many(places: DataFrame, searches: DataFrame) -> DataFrame:
     place. Searches are keyed by the first three letters of the folded query (or all of
     a shorter one), so that a name meets only searches for strings it holds."""
     wanted = searches.withColumn("needle", text.fold(F.col("query"))).where("needle <> ''").withColumn("gram", F.left("needle", F.lit(3)))
-    lengths = [r[0] for r in wanted.select(F.char_length("gram")).distinct().collect()]  # three at most
+    sizes = wanted.groupBy(F.char_length("gram")).count().collect()  # three at most
+    lengths = [r[0] for r in sizes]
+    # never the grams of the names, which Spark reckons by the size of their file
+    wanted = F.broadcast(wanted) if sum(r[1] for r in sizes) <= BROADCAST_SEARCHES else wanted.hint("merge")
     pieces = lambda n: F.when(F.char_length("key") >= n, F.transform(F.sequence(F.lit(1), F.char_length("key") - (n - 1)), lambda i: F.substring(F.col("key"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *map(pieces, sorted(lengths))))
     both = places.withColumn("gram", F.explode(grams)).join(wanted, "gram").drop("gram").where(F.contains("key", F.col("needle")))

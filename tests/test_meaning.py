@@ -111,3 +111,17 @@ def test_snapshot(spark):
 
 def test_bridge_reads_alike(spark):
     assert bridge.derive(spark.createDataFrame([(81,)], "c_custkey bigint"), bridge.NODE).first().row_no == 2
+
+
+def test_grams_of_names_are_not_broadcast(spark, monkeypatch, tmp_path):
+    rows = [(0, i, n, "STREET", 0.0, 0.0) for i, n in enumerate(("Alexanderplatz", "Am Alexanderplatz", "Müllerstraße"))]
+    spark.createDataFrame(rows, "part int, seq bigint, name string, kind string, lat double, lon double").write.parquet(str(tmp_path / "p"))
+    found = places.index(spark.read.parquet(str(tmp_path / "p")))
+    asked = spark.createDataFrame([(1, "alexander", 2), (2, "strasse", 5)], "q_id bigint, query string, lim int")
+    want = [(1, "Alexanderplatz"), (1, "Am Alexanderplatz"), (2, "Müllerstraße")]
+    for most, build in ((10_000, "BuildRight"), (1, None)):
+        monkeypatch.setattr(places, "BROADCAST_SEARCHES", most)
+        got = places.search_many(found, asked)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert (build in plan) if build else ("SortMergeJoin" in plan and "BroadcastHashJoin" not in plan)
+        assert "BuildLeft" not in plan and sorted((r.q_id, r.name) for r in got.collect()) == want
